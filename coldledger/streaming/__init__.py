@@ -1,0 +1,2 @@
+"""No streaming operators: the work covered here has no event time, windows or
+late data, so everything is batch (see README)."""
