@@ -73,8 +73,11 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
     the copies are taken within one hash prefix of a name, on top of the totals
     of the smaller prefixes (at most 65,536 per name).
     """
-    runs = rows.groupBy("filename", "hash").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
-    runs = runs.withColumn("_prefix", F.substring("hash", 1, _PREFIX_CHARS))
+    runs = durable(
+        rows.groupBy("filename", "hash")
+        .agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+        .withColumn("_prefix", F.substring("hash", 1, _PREFIX_CHARS))
+    )
     group = ["filename", "_prefix"]
     earlier = Window.partitionBy(*group).orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     smaller = Window.partitionBy("filename").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
