@@ -96,26 +96,29 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_right").over(earlier), F.lit(0)).alias("_right_local"),
     ).join(totals, group)
 
-    def copies(side: str) -> DataFrame:
-        chunks = placed.where(F.col(f"n_{side}") > 0).select(
-            "filename",
-            F.col("hash").alias(f"{side}_hash"),
-            (F.col(f"_{side}_base") + F.col(f"_{side}_local")).alias("_start"),
-            F.col(f"n_{side}").alias("_n"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(f"n_{side}") - 1) / _CHUNK))).alias("_chunk"),
-        )
-        first = F.col("_chunk") * _CHUNK
-        last = F.least(first + _CHUNK, F.col("_n")) - 1
-        # Spread the chunks before writing out their rows: one record may have
-        # a large share of all copies.
-        return chunks.repartition("filename", f"{side}_hash", "_chunk").select(
-            "filename",
-            f"{side}_hash",
-            F.explode(F.sequence(F.col("_start") + first + 1, F.col("_start") + last + 1)).alias("copy"),
+    def side(is_left: bool, name: str) -> Column:
+        return F.struct(
+            F.lit(is_left).alias("_is_left"),
+            (F.col(f"_{name}_base") + F.col(f"_{name}_local")).alias("_start"),
+            F.col(f"n_{name}").alias("_n"),
         )
 
-    return copies("left").join(copies("right"), ["filename", "copy"], "full").select(
-        "filename", "copy", "left_hash", "right_hash"
+    chunks = (
+        placed.select("filename", "hash", F.inline(F.array(side(True, "left"), side(False, "right"))))
+        .where(F.col("_n") > 0)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _CHUNK))))
+    )
+    first = F.col("_chunk") * _CHUNK
+    last = F.least(first + _CHUNK, F.col("_n")) - 1
+    copies = F.sequence(F.col("_start") + first + 1, F.col("_start") + last + 1)
+    is_left = F.col("_is_left")
+    # Chunks are spread before their rows are written out: one record may have a
+    # large share of all copies.
+    return (
+        chunks.repartition("filename", "hash", "_is_left", "_chunk")
+        .select("filename", "hash", "_is_left", F.explode(copies).alias("copy"))
+        .groupBy("filename", "copy")
+        .agg(F.max(F.when(is_left, F.col("hash"))).alias("left_hash"), F.max(F.when(~is_left, F.col("hash"))).alias("right_hash"))
     )
 
 

@@ -71,10 +71,11 @@ def semi_join_spread(
     keys = list(keys)
     wanted = wanted.select(*keys)
     if wanted.count() <= broadcast_rows:
-        return facts.join(F.broadcast(wanted), keys, "left_semi")
+        return facts.join(F.broadcast(wanted), keys, "left_semi").select(*facts.columns)
     salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)).cast("int")
-    return facts.withColumn("_salt", spread).join(salted, [*keys, "_salt"], "left_semi").drop("_salt")
+    spread_facts = facts.withColumn("_salt", spread)
+    return spread_facts.join(salted, [*keys, "_salt"], "left_semi").select(*facts.columns)
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
