@@ -23,7 +23,7 @@ def epoch_seconds(text: Column) -> Column:
     """Epoch seconds of an ISO 8601 text, read as UTC when it names no zone."""
     ending = (
         F.when(text.endswith("Z"), "")
-        .when(F.length(text) == len("2024-01-01"), "T00:00:00Z")
+        .when(F.octet_length(text) == len("2024-01-01"), "T00:00:00Z")
         .when(text.rlike(fv.OFFSET_ENDING), "")
         .otherwise("Z")
     )
@@ -38,7 +38,7 @@ def interval_bounds(interval: Column) -> tuple[Column, Column]:
 def is_interval(interval: Column) -> Column:
     """Whether a text has exactly two parts."""
     start, end = interval_bounds(interval)
-    return F.length(start) + 1 + F.length(end) == F.length(interval)
+    return F.octet_length(start) + 1 + F.octet_length(end) == F.octet_length(interval)
 
 
 def utc_seconds(moment: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import with_fixed_partitions
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows, so there can be
 # at most HOT_SHARE hot keys: that bounds what is broadcast here.
@@ -81,11 +81,11 @@ def semi_join_spread(
 def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Sort ``df`` globally and number its rows from 1.
 
-    The sorted rows are written out once, which fixes the partitions. A row's
+    The sorted rows are checkpointed, which fixes the partitions. A row's
     number is its place within its partition plus the sizes of the partitions
     before it; only those sizes (one row per partition) meet in one task.
     """
-    ranked = durable(df.orderBy(*order)).select(
+    ranked = with_fixed_partitions(df.orderBy(*order)).select(
         "*",
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_offset"),

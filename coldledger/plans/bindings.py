@@ -46,14 +46,14 @@ def _tag(key, value) -> Column:
     return F.struct(as_column(key).alias("Key"), as_column(value).alias("Value"))
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.lower(F.replace("r_name", F.lit(" "), F.lit("-")))
+    return table(spark, sf_dir, "region").select("r_regionkey", name.alias("region"))
+
+
 def _regional_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region")
-    return (
-        table(spark, sf_dir, "events")
-        .withColumn("r_regionkey", (F.col("user_id") % 5).cast("int"))
-        .join(regions, "r_regionkey")
-        .withColumn("region", F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))))
-    )
+    keyed = table(spark, sf_dir, "events").withColumn("r_regionkey", (F.col("user_id") % 5).cast("int"))
+    return keyed.join(_regions(spark, sf_dir), "r_regionkey")
 
 
 def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +133,8 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One volume per supplier; users beyond the suppliers have deleted volumes."""
     supplier = table(spark, sf_dir, "supplier").withColumn("r_regionkey", (F.col("s_suppkey") % 5).cast("int"))
     nation_tag = F.array(_tag("Nation", F.col("s_nationkey")))
-    return supplier.join(table(spark, sf_dir, "region"), "r_regionkey").select(
-        F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("region"),
+    return supplier.join(_regions(spark, sf_dir), "r_regionkey").select(
+        "region",
         _text("vol-", F.col("s_suppkey")).alias("volume_id"),
         (1 + F.col("s_suppkey") % 50).cast("bigint").alias("size"),
         F.when(F.col("s_acctbal") > 0, F.concat(nation_tag, F.array(_tag("Name", F.col("s_name")))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tarfile
+import uuid
 from collections.abc import Callable, Iterator
 from io import BytesIO
 
@@ -317,7 +318,7 @@ def _file_writer(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                 os.makedirs(folder, exist_ok=True)
                 # A retried task replaces whole files only.
                 final = os.path.join(folder, f".{doc_id}.txt")
-                with open(f"{root}.{source}.{doc_id}.part", "wb") as out:
+                with open(f"{root}.{uuid.uuid4().hex}.part", "wb") as out:
                     out.write(text.encode("utf-8"))
                 os.replace(out.name, final)
             yield pd.DataFrame({"files": [len(batch)]})
@@ -351,7 +352,7 @@ def _archive_writer(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
             for part, doc_id, lang, text in zip(batch["part"], batch["doc_id"], batch["lang"], batch["text"]):
                 if tar is None:
                     path = os.path.join(root, f"part-{part}.tar" + (".gz" if part % 2 else ""))
-                    tar = tarfile.open(f"{root}.{part}.part", "w:gz" if part % 2 else "w")
+                    tar = tarfile.open(f"{root}.{uuid.uuid4().hex}.part", "w:gz" if part % 2 else "w")
                 add(tar, f"./{doc_id}", text.encode("utf-8"))
                 if lang == "es":
                     add(tar, f"links/{doc_id}", target=f"/{doc_id}")

@@ -56,12 +56,25 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(application)
 
 
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """Path of a fresh folder inside the shared one (not yet created)."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and carry on from the written copy.
+    """Write ``df`` as a table in the shared folder and carry on from that.
 
-    For results that several branches read: they are computed once, and a lost
-    executor costs a re-read instead of the whole lineage.
+    For results that several branches read: they are computed once, readers take
+    only the columns they need, the planner knows the size, and a lost executor
+    costs a re-read instead of the whole lineage.
     """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_fixed_partitions(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``: its partitions and the order of rows in them stay as they are."""
     context = df.sparkSession.sparkContext
     folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
@@ -69,11 +82,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def new_folder(spark: SparkSession, purpose: str) -> str:
-    """Path of a fresh folder inside the shared one (not yet created)."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def mounted_path(folder: str) -> str:
     """``folder`` as a file-system path, for work done with plain file calls."""
     if folder.startswith("file:"):
