@@ -36,6 +36,12 @@ def missing_snapshots(requested: DataFrame, snapshots: DataFrame) -> DataFrame:
     return wanted.join(snapshots.select("snapshot_id"), "snapshot_id", "left_anti")
 
 
+def requested_snapshots(requested: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The snapshots that were requested by id, whatever their tags."""
+    wanted = requested.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("requests"))
+    return snapshots.join(wanted, "snapshot_id", "left_semi")
+
+
 # --- object keys and lookups --------------------------------------------------
 def _identity() -> tuple[Column, Column, Column, Column]:
     return F.col("volume_id"), F.col("start_time"), F.col("snapshot_id"), F.col("description")

@@ -454,6 +454,11 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT snapshot_id, count(*) AS requests FROM (SELECT 'snap-' || o_custkey || 'click' AS snapshot_id FROM orders)
         WHERE snapshot_id NOT IN (SELECT snapshot_id FROM snapshots) GROUP BY snapshot_id""",
     ),
+    "requested_snapshots": (
+        ("snapshots",),
+        """SELECT region, snapshot_id, volume_id, status FROM snapshots
+        WHERE snapshot_id IN (SELECT 'snap-' || o_custkey || 'click' FROM orders)""",
+    ),
     "object_keys": (("objects",), "SELECT bucket, key, size FROM objects"),
     "object_lookup": (
         ("parts", "objects"),

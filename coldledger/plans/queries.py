@@ -20,6 +20,7 @@ from ..operators import catalogue, costs, manifests, tiers, usage
 from ..session import durable, mounted_path, new_folder, ship_package
 from ..sources import archives, directories, manifest_files, usage_csv
 from . import bindings as b
+from . import workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,10 +42,7 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Latest usage, described snapshots and volume rollup, each written out."""
-    latest = _latest(spark, sf_dir)
-    described = durable(costs.with_snapshots(latest, b.snapshots(spark, sf_dir)))
-    rollup = durable(costs.volume_rollup(described, b.volumes(spark, sf_dir)))
-    return latest, described, rollup
+    return workflows.cost_tables(b.usage_report(spark, sf_dir), b.snapshots(spark, sf_dir), b.volumes(spark, sf_dir))
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +374,7 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
             _archive_writer(root), "archive string"
         )
     )
-    found = archives.read_archives(spark, packed)
+    found = durable(archives.read_archives(spark, packed))
     manifest = manifests.require_resolved(manifests.resolve_hard_links(found))
     return manifest.select(F.col("filename").cast("string").alias("filename"), "hash")
 
@@ -402,6 +400,11 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.missing_snapshots(b.requested_ids(spark, sf_dir), b.snapshots(spark, sf_dir))
 
 
+def requested_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalogue.requested_snapshots(b.requested_ids(spark, sf_dir), b.snapshots(spark, sf_dir))
+    return found.select("region", "snapshot_id", "volume_id", "status")
+
+
 def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.objects(spark, sf_dir)
 
@@ -520,6 +523,7 @@ QUERIES: dict[str, Query] = {
     "work_queue": work_queue,
     "work_queue_one": work_queue_one,
     "missing_ids": missing_ids,
+    "requested_snapshots": requested_snapshots,
     "object_keys": object_keys,
     "object_lookup": object_lookup,
     "validation_route": validation_route,
