@@ -9,6 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions.keys import archive_base, full_key, image_base, key_base, key_codec, key_encrypted
 from ..functions.tags import has_tag, legal_text
 from ..functions.text import utc_iso
+from ..session import durable
 from .skew import with_positions
 
 
@@ -101,7 +102,7 @@ def validation_route(
     partition without an image; ``route`` is image, archive or missing.
     """
     found = ["found_key", "found_size", "found_encrypted"]
-    images = find_objects(with_image_key(snapshots), objects, bucket, codec, encrypted)
+    images = durable(find_objects(with_image_key(snapshots), objects, bucket, codec, encrypted))
     parts = images.where(F.col("found_key").isNull()).drop(*found, "found_codec")
     parts = with_archive_key(parts.withColumn("partition_name", F.explode("partitions")))
     archives = find_objects(parts, objects, bucket, codec, encrypted)

@@ -1,7 +1,7 @@
 """Manifests: comparison, hard links, sorting, sizes and digests.
 
 A manifest is a DataFrame of ``filename BINARY, hash STRING``; a name may occur
-more than once.
+more than once, and no hash is null.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Copies of a name pair up in hash order, first with first and so on. One
     aggregate by name (combined map-side, so a hot name is small) settles every
-    name that occurs at most once per side. Only the other names are numbered.
+    name that occurs at most once per side. Only the other names are numbered;
+    the inputs are read again for those, so pass ``durable`` or stored ones.
     """
     rows = _both(left, right)
     names = durable(
@@ -211,7 +212,8 @@ def resolve_hard_links(members: DataFrame) -> DataFrame:
 
     An archive or a target may hold any share of the members, so a target's
     rows are split by ranges of ``seq``. Each range carries in the last hash of
-    the ranges before it.
+    the ranges before it. ``members`` is read for files and for links: pass a
+    ``durable`` or stored one.
     """
     plain = members.where(F.col("type").isin("file", "link")).select(
         "archive", "seq", "type", "hash", strip_root(F.col("name")).alias("filename"), strip_root(F.col("linkname")).alias("target")

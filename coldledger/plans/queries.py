@@ -229,7 +229,9 @@ def transfer_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- manifests ------------------------------------------------------------------
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.compare_manifests(b.manifest_left(spark, sf_dir), b.manifest_right(spark, sf_dir))
+    """Both manifests are written out first, so every text is read and hashed once."""
+    left, right = durable(b.manifest_left(spark, sf_dir)), durable(b.manifest_right(spark, sf_dir))
+    return manifests.compare_manifests(left, right)
 
 
 def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +289,7 @@ def digest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hardlink_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = manifests.resolve_hard_links(b.members(spark, sf_dir))
+    resolved = manifests.resolve_hard_links(durable(b.members(spark, sf_dir)))
     return resolved.withColumn("filename", F.col("filename").cast("string"))
 
 

@@ -25,6 +25,9 @@ def local_session(cpus: int | str = "*", app: str = "coldledger") -> SparkSessio
     )
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
@@ -36,9 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="coldledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="coldledger-")
+    return _own_folders[application]
 
 
 _shipped: set[str] = set()

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pytest
-
-import __spark_entry__ as entry_points
 from coldledger.operators import catalogue, usage
 from coldledger.plans import bindings as b
 
@@ -60,9 +57,3 @@ def test_lookup_shuffles_each_side_once(spark):
         assert exchanges(catalogue.find_objects(wanted, listing, "b", "lz4", False)) == own + 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
-def test_no_query_multiplies_rows_by_a_cross_join(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -23,6 +23,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query(spark, connection, name):
     df = entry_points.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert differences(df, entry_points.oracle_sql()[name], connection) == []
 
 
