@@ -64,7 +64,6 @@ SUCCESS_HEADER = "These snapshots validated successfully:"
 FAILURE_HEADER = "These snapshots failed to validate:"
 
 # --- uploads ----------------------------------------------------------------
-MAX_PARTS = 10_000
 USABLE_PARTS = 9_000
 PART_HEADROOM_BYTES = 10 * 1024 * 1024
 MIN_PART_BYTES = 5 * 1024 * 1024

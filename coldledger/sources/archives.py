@@ -14,7 +14,6 @@ from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .directories import md5_of_stream, task_count
