@@ -1,0 +1,15 @@
+"""DuckDB SQL of the queries that SQL can express."""
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL = {
+    "op1_exact_dedup": f"""
+        WITH folded AS (SELECT doc_id, {_FOLD} AS folded FROM documents)
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY folded) AS keep_id,
+               count(*) OVER (PARTITION BY folded) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY folded) AS kept,
+               sha256(folded) AS text_sha256
+        FROM folded
+    """,
+}
