@@ -12,4 +12,17 @@ ORACLE_SQL = {
                sha256(folded) AS text_sha256
         FROM folded
     """,
+    "op10_warc": """
+        WITH payloads AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), described AS (
+            SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY payload) AS largest
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+        FROM described
+    """,
 }
