@@ -30,8 +30,8 @@ LEAST_SHARD_SLOTS = 1024
 MOST_SHARDS = 4096
 #: Source names are settings that come with weights, and their totals are handled on the driver.
 MOST_SOURCES = 100_000
-#: Rows that a window over one source's bucket numbers, on average.
-BUCKET_ROWS = 50_000
+#: Rows that a window over one bucket of a source numbers, on average.
+BUCKET_ROWS = 4096
 SEED = 20240817
 _WORD = r"[^\x20\x09-\x0D]+"
 _ROUNDS = 4
@@ -240,20 +240,21 @@ def plan_mix(
         "shard long, source_no long, slot long, pass long, block long, words long",
     )
     listed = pd.DataFrame(
-        [(i, p.source, p.size, p.target) for i, p in enumerate(plans)],
-        columns=["source_no", "source", "source_size", "target"],
+        [(i, p.source, p.size, p.target, -(-r["rows"] // bucket_rows)) for i, (p, r) in enumerate(zip(plans, found))],
+        columns=["source_no", "source", "source_size", "target", "buckets"],
+    )
+    described = spark.createDataFrame(
+        listed, "source_no long, source string, source_size long, target double, buckets long"
     )
-    described = spark.createDataFrame(listed, "source_no long, source string, source_size long, target double")
     # At most MOST_SOURCES rows.
     known = sized.join(F.broadcast(described), sized["source"].eqNullSafe(described["source"])).drop("source")
-    return Mix(_placed(known, sum(r["rows"] for r in found), bucket_rows), taken, block_words)
+    return Mix(_placed(known), taken, block_words)
 
 
-def _placed(known: DataFrame, rows: int, bucket_rows: int) -> DataFrame:
+def _placed(known: DataFrame) -> DataFrame:
     """Add first_word. A source's documents are laid out by hash bucket and by id within it, so that
     no window holds a whole source."""
-    buckets = max(1, -(-rows // bucket_rows))
-    bucketed = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content"), F.lit(buckets)))
+    bucketed = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content"), F.col("buckets")))
     sums = bucketed.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(
@@ -293,7 +294,8 @@ def taken_spans(mix: Mix) -> DataFrame:
             )
         ),
     )
-    slots = mix.slots.select("shard", "slot", "pass", "words", "source_no", "block")
+    # The planner cannot see how many slots there are, so it must not broadcast them.
+    slots = mix.slots.select("shard", "slot", "pass", "words", "source_no", "block").hint("merge")
     start = F.col("block") * size
     first = F.greatest(F.col("first_word"), start)
     stop = F.least(last, start + F.col("words"))
