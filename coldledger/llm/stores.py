@@ -12,6 +12,11 @@ import uuid
 from urllib.parse import urlparse
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A task reads at least and at most so many bytes of files, as cores allow.
+LEAST_TASK_BYTES, MOST_TASK_BYTES = 1 << 23, 1 << 28
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -28,3 +33,12 @@ def new_file(folder: str, ending: str) -> tuple[fs.FileSystem, str]:
     store, path = opened(folder)
     store.create_dir(path, recursive=True)
     return store, f"{path}/{uuid.uuid4().hex}{ending}"
+
+
+def spread_by_place(index: DataFrame) -> DataFrame:
+    """``index`` (file, offset, length) in order of place, dealt to tasks by bytes to read: the index
+    itself is too small for Spark to tell how much work it stands for."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    share = min(MOST_TASK_BYTES, max(LEAST_TASK_BYTES, total // (2 * cores)))
+    return index.repartitionByRange(max(1, -(-total // share)), "file", "offset").sortWithinPartitions("file", "offset")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable, new_folder, ship_package
 from .arrays import byte_view, slices, texts_of
-from .stores import new_file, opened
+from .stores import new_file, opened, spread_by_place
 from .vocabularies import encoder, public_path, ship_tokenizer
 
 #: The id that ends each document.
@@ -333,8 +333,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Ite
 def read_tokens(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (and the ids) of the documents in the blocks of ``index``."""
     ship_package(index.sparkSession)
-    ordered = index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.select("file", "offset", "length", "start").mapInArrow(
+    return spread_by_place(index).select("file", "offset", "length", "start").mapInArrow(
         lambda batches: _read(batches, folder, with_ids),
         "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids,
     )

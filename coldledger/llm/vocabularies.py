@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import chain
 from pathlib import Path
@@ -53,11 +54,103 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# How the two kinds of public vocabularies tell words apart.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CONTROLS = re.compile("[\x1c-\x1f]")
+# Texts of Latin letters whose lower case and composition are the same in all versions of Unicode,
+# without odd white space.
+_LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]*")
+#: Ends a word; never in a Latin text.
+_END = "\U0010ffff"
+
+
+def _latin_words() -> re.Pattern[str]:
+    """``_WORDS`` over lower-case Latin texts, without classes that this library lacks."""
+    letters = [chr(c) for c in range(0x180)]
+    alphabetic = "".join(x for x in letters if unicodedata.category(x)[0] == "L")
+    numeric = "".join(x for x in letters if unicodedata.category(x)[0] == "N")
+    return re.compile(_WORDS.replace(r"\p{L}", alphabetic).replace(r"\p{N}", numeric))
+
+
+class _LatinBpe:
+    """Ids of Latin texts by the same merges in another, faster library.
+
+    That library merges bytes, lowest rank first. A word's end is a byte sequence of its own that
+    merges with the last byte before anything else does.
+    """
+
+    def __init__(self, definition: dict, dtype: np.dtype) -> None:
+        import tiktoken
+
+        model = definition["model"]
+        self.suffix = model["end_of_word_suffix"] or ""
+        letters = _byte_of_letter()
+        end = _END.encode() if self.suffix else b""
+        ranks: dict[bytes, int] = {}
+        ids: list[int] = []
+
+        def add(token: bytes, number: int) -> None:
+            if token not in ranks:
+                ranks[token] = len(ids)
+                ids.append(number)
+
+        def as_bytes(token: str) -> bytes:
+            ended = bool(self.suffix) and token.endswith(self.suffix)
+            body = token.removesuffix(self.suffix) if ended else token
+            return bytes(letters[letter] for letter in body) + end * ended
+
+        vocab = model["vocab"]
+        for letter, byte in sorted(letters.items(), key=lambda item: item[1]):
+            add(bytes([byte]), vocab[letter])
+        for size in range(2, len(end) + 1):
+            add(end[:size], 0)
+        if end:
+            for letter, byte in letters.items():
+                add(bytes([byte]) + end, vocab[letter + self.suffix])
+        for left, right in (m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
+            add(as_bytes(left + right), vocab[left + right])
+        self.ids = np.array(ids, dtype)
+        self.words = _latin_words()
+        self.encoding = tiktoken.Encoding(
+            "latin", pat_str=f"[^{_END}]+{_END}" if end else _SPACED_WORDS, mergeable_ranks=ranks, special_tokens={}
+        )
+
+    @staticmethod
+    def of(definition: dict, dtype: np.dtype) -> _LatinBpe | None:
+        """None if the vocabulary is of another kind."""
+        before, model = definition["pre_tokenizer"] or {}, definition["model"]
+        plain = model["type"] == "BPE" and not any(
+            model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        )
+        spaced = (
+            definition["normalizer"] is None
+            and not model["end_of_word_suffix"]
+            and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        )
+        steps = [step["type"] for step in (definition["normalizer"] or {}).get("normalizers", [])]
+        parts = before.get("pretokenizers", [{}])
+        worded = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and bool(model["end_of_word_suffix"])
+            and parts[0].get("pattern") == {"Regex": _WORDS}
+            and [part["type"] for part in parts] == ["Split", "ByteLevel"]
+        )
+        return _LatinBpe(definition, dtype) if plain and (spaced or worded) else None
+
+    def encode(self, text: str) -> bytes:
+        if self.suffix:
+            words = self.words.findall(text.lower())
+            text = _END.join([*words, ""])
+        return self.ids[self.encoding.encode_ordinary(text)].tobytes() if text else b""
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special tokens added.
 
-    A text is cut before white space that follows something else: no token, and no rule of how
-    words are told apart, reaches over such a place. Each piece is encoded once and remembered.
+    Plain Latin texts go through ``_LatinBpe``. Any other text is cut before white space that
+    follows something else: no token, and no rule of how words are told apart, reaches over such a
+    place. Each piece is encoded by the library once and remembered.
     """
 
     def __init__(self, definition: str) -> None:
@@ -69,13 +162,23 @@ class Encoder:
         self.tokenizer.no_padding()
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        parsed = json.loads(self.tokenizer.to_str())
+        added = parsed["added_tokens"]
         self.cuts = not any(
             t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added
         )
         self.special = {t["id"]: t["content"].encode() for t in added}
+        self._special_texts = [t["content"] for t in added]
+        self._latin = _LatinBpe.of(parsed, self.dtype) if self.cuts else None
         self._known: dict[str, bytes] = {}
 
+    def _simple(self, text: str) -> bool:
+        return (
+            self._latin is not None
+            and (text.isascii() and _CONTROLS.search(text) is None or _LATIN.fullmatch(text) is not None)
+            and not any(token in text for token in self._special_texts)
+        )
+
     def _fresh(self, texts: Sequence[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False):
             yield np.array(found.ids, self.dtype).tobytes()
@@ -87,6 +190,11 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers of ``dtype``."""
+        simple = [self._simple(text) for text in texts]
+        others = iter(self._by_pieces([text for text, latin in zip(texts, simple) if not latin]))
+        return [self._latin.encode(text) if latin else next(others) for text, latin in zip(texts, simple)]
+
+    def _by_pieces(self, texts: Sequence[str]) -> list[bytes]:
         if len(self._known) > MOST_PIECES:
             self._known.clear()
         known = self._known
@@ -95,8 +203,6 @@ class Encoder:
         extra: dict[str, bytes] = {}
         for piece, ids in zip(missing, self._fresh(missing)) if missing else ():
             (known if len(piece) <= LONGEST_PIECE else extra)[piece] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, found)) for found in pieces]
         return [b"".join(known[p] if p in known else extra[p] for p in found) for found in pieces]
 
     def byte_table(self) -> list[bytes]:

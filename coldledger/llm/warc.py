@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable, new_folder, ship_package
 from .arrays import slices
-from .stores import new_file, opened
+from .stores import new_file, opened, spread_by_place
 
 #: Payloads below this size are never replaced by a revisit record.
 LEAST_REVISIT_BYTES = 1000
@@ -276,11 +276,7 @@ def read_warc(
     Each payload is checked against its digest. Revisit records have a null payload.
     """
     ship_package(index.sparkSession)
-    placed = (
-        index.select("file", "offset", "length", "url", "payload_digest")
-        .repartitionByRange("file", "offset")
-        .sortWithinPartitions("file", "offset")
-    )
+    placed = spread_by_place(index.select("file", "offset", "length", "url", "payload_digest"))
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
     return placed.mapInArrow(
         lambda batches: _read(batches, folder, with_payload, gap_bytes, read_bytes),
