@@ -156,9 +156,12 @@ def exact_dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are numbered in a staged copy, so the numbers stay the same whatever happens to the cluster.
+    """
     number = free_name(docs, "row_number")
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    numbered = durable(docs.withColumn(number, F.monotonically_increasing_id()))
     dropped = durable(
         exact_groups(numbered, doc_id, text)
         .where(~F.col("kept"))
