@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import durable, ship_package
 from .arrays import byte_view, slices, texts_of
@@ -379,5 +380,5 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     spark = encoded.sparkSession
     ship_package(spark)
     shipped = ship_tokenizer(spark, tokenizer or public_path("byte_bpe_50k.json"))
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(lambda batches: _decoded(batches, shipped), schema)
