@@ -25,7 +25,7 @@ from .labelled import logistic, remainder, training_rows
 TRAINING_ROWS = 10_000
 MINED_WORDS = 48
 #: Lengths of word beginnings; they are written with a star.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 #: Labels of ids whose remainder by DIVISOR is HELD_OUT are never learned from.
 DIVISOR, HELD_OUT = 5, 0
 RIDGE = 1e-4
