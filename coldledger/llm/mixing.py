@@ -10,15 +10,18 @@ number.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
+from .arrays import free_name, slices
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -197,17 +200,20 @@ def plan_mix(
     block_words: int = BLOCK_WORDS,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = SEED,
+    row: str | None = None,
 ) -> Mix:
     """Plan the mix of all ``docs``. A null text has no words; null is a source of its own, the last.
 
-    Reruns over the same rows agree: documents are laid out by id, equal ids by content.
+    Reruns over the same rows agree: documents are laid out by id, equal ids by content, and which of
+    several equal rows comes first makes no difference. ``row`` names a column that numbers the rows.
+    An empty table gives an empty mix.
     """
     spark = docs.sparkSession
     ship_package(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     sized = durable(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"),
             F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
             F.col(f"`{source}`").cast("string").alias("source"),
             F.regexp_count(body, F.lit(_WORD)).cast("long").alias("size"),
@@ -319,3 +325,47 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
         .agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).alias("taken"))
         .drop("row")
     )
+
+
+def _cut_text(text: str, size: int, spans: list[dict]) -> str:
+    """The words of ``text`` in ``spans``, with what stands between them; all of it if all are taken."""
+    joined: list[list[int]] = []
+    for span in spans:
+        if joined and span["from_word"] <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], span["to_word"])
+        else:
+            joined.append([span["from_word"], span["to_word"]])
+    if joined == [[0, size]]:
+        return text
+    words = [found.span() for found in re.finditer(_WORD, text)]
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in joined)
+
+
+def _taken_texts(batches: Iterator[pa.RecordBatch], text: str, size: str, spans: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, text):
+            columns = (batch.column(name).to_pylist() for name in (text, size, spans))
+            cut = pa.array([_cut_text(*row) for row in zip(*columns)], pa.string())
+            kept = batch.select([name for name in batch.schema.names if name not in (size, spans)])
+            yield kept.set_column(kept.schema.get_field_index(text), text, cut)
+
+
+def mix_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """The mix as rows of ``docs``: a document stands in it once for each pass over its source that
+    takes words of it, with the words taken in that pass. Texts without words are in no mix."""
+    ship_package(docs.sparkSession)
+    number, size, spans = (free_name(docs, wish) for wish in ("row_number", "mix_size", "mix_spans"))
+    numbered = durable(docs.withColumn(number, F.monotonically_increasing_id()))
+    mix = plan_mix(numbered, doc_id, text, source, row=number, **options)
+    taken = (
+        taken_spans(mix)
+        .where("slot IS NOT NULL")
+        .groupBy(F.col("row").alias(number), F.col("size").alias(size), "pass")
+        .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias(spans))
+        .drop("pass")
+    )
+    # The planner cannot see how many there are, so it must not broadcast them.
+    joined = numbered.join(taken.hint("merge"), number).drop(number)
+    return joined.mapInArrow(lambda batches: _taken_texts(batches, text, size, spans), docs.schema)
