@@ -1,23 +1,56 @@
-"""Documents to training tokens: the stages of the corpus pipeline."""
+"""Documents to training tokens: the stages of the corpus pipeline.
+
+Quality first, so that everything after it works on what is worth keeping; copies before near
+copies; the mix over what is left; tokens last. All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coldledger.llm import exact_dedup
+from coldledger.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from coldledger.session import new_folder
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, the one with the largest id."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the target weights of their sources take them."""
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in mixed.columns else mixed
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with their hash and that of the text they decode to."""
+    found = bpe.encode_documents(docs)
+    others = [F.col(f"kept_columns.`{name}`").alias(name) for name in docs.columns if name != "text"]
+    return found.select(*others, "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 STAGES = [
+    ("quality classifier", drop_low_quality),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
 ]
 
-#: The classifier's scores and the chunk hashes are beyond SQL.
+#: The classifier's scores, the draws of the mix and the token ids are beyond SQL.
 ORACLE_SQL = None
 
 
