@@ -6,8 +6,9 @@ there are 100 tables of six minhashes from 60 minhashes instead of 600. Texts th
 key are candidates, and all links are confirmed on the full shingle sets.
 
 Only connected groups are asked for, so no bucket is expanded into all its pairs at first: each
-text is compared with the bucket leader it meets most often. What is left then, pairs in one
-bucket whose texts are not yet connected, is compared in full.
+text is compared with the bucket leader it meets most often. Buckets that are not connected then
+form families; a family is dealt into tiles of a bounded number of texts, and each pair of tiles is
+compared in full by one product of matrices. No row is made for a pair of texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import durable, ship_package
 from .arrays import byte_view, free_name, slices
 from .components import connected_components
+from .embedding_dedup import forest
 from .shingles import fingerprint, intersection_size, mixed, shingle_sets
 
 #: Words of a shingle, and the least similarity in percent.
@@ -33,7 +35,9 @@ LEAST_PERCENT = 80
 SKETCHES = 10
 SKETCH_HASHES = 3
 #: Rounds in which every text is compared with one leader before the rest is compared in full.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Texts of a tile, on average.
+TILE_TEXTS = 128
 _FACTORS = np.random.default_rng(20240518).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -187,22 +191,113 @@ def _leader_pairs(placed: DataFrame, tested: list[DataFrame], least_percent: int
     return met.groupBy("b").agg(F.max_by("a", F.col("votes")).alias("a")).select("a", "b")
 
 
-def _remaining_pairs(placed: DataFrame, tested: list[DataFrame], least_percent: int) -> DataFrame:
-    """All pairs in one bucket that are not connected, were not compared and may be similar by size."""
-    opened = _open_buckets(placed).select("key", "id", "n_shingles", "component")
-    other = opened.select(
-        "key", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2")
-    )
-    pairs = (
-        opened.join(other, "key")
-        .where((F.col("component") < F.col("component2")) & _sizes_allow(F.col("n_shingles"), F.col("n2"), least_percent))
-        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+def _tile_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts, the text of each, and the sizes of the sets."""
+    shingles, offsets = shingle_sets(*byte_view(texts), words)
+    sizes = np.diff(offsets)
+    return shingles, np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _tile_links(a: pa.RecordBatch, b: pa.RecordBatch, words: int, least_percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of linked texts of two tiles (or of one, twice) that are not connected yet."""
+    values_a, owner_a, size_a = _tile_sets(a.column("text"), words)
+    values_b, owner_b, size_b = (values_a, owner_a, size_a) if a is b else _tile_sets(b.column("text"), words)
+    group_a, group_b = a.column("component").to_numpy(), b.column("component").to_numpy()
+    apart = group_a[:, None] != group_b[None, :]
+    if not apart.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Only shingles of both tiles count; a column of the matrices stands for one of them.
+    common = np.intersect1d(values_a, values_b)
+    sides = []
+    for values, owner, count in ((values_a, owner_a, len(size_a)), (values_b, owner_b, len(size_b))):
+        place = np.searchsorted(common, values)
+        found = place < len(common)
+        found[found] = common[place[found]] == values[found]
+        sides.append((place[found], owner[found], count))
+    both = np.zeros((len(size_a), len(size_b)))
+    for start in range(0, len(common), _COLUMNS):
+        parts = []
+        for place, owner, count in sides:
+            inside = (place >= start) & (place < start + _COLUMNS)
+            part = np.zeros((count, min(_COLUMNS, len(common) - start)), np.float32)
+            part[owner[inside], place[inside] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    union = size_a[:, None] + size_b[None, :] - both
+    i, j = np.nonzero(apart & (100 * both >= least_percent * union))
+    return a.column("id").to_numpy()[i], b.column("id").to_numpy()[j]
+
+
+#: Columns of the matrices at a time; sums of ones below 2 ** 24 are exact in them.
+_COLUMNS = 1 << 14
+
+
+def _compared_tiles(batches: Iterator[pa.RecordBatch], words: int, least_percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of tiles; the rows of a pair follow one another, side by side."""
+    pair, sides = None, ([], [])
+
+    def finish() -> pa.RecordBatch:
+        tiles = [pa.Table.from_batches(held).combine_chunks().to_batches()[0] for held in sides if held]
+        # A pair of different tiles of which one has no texts has nothing to compare.
+        a, b = _tile_links(tiles[0], tiles[-1], words, least_percent) if len(tiles) == 2 or pair[1] == pair[2] else ([], [])
+        if len(a):
+            a, b = forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            keys = list(zip(*(batch.column(name).to_pylist() for name in ("family", "first", "second"))))
+            side = batch.column("side").to_numpy()
+            start = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[start] or side[i] != side[start]:
+                    if keys[start] != pair and pair is not None:
+                        yield finish()
+                        sides = ([], [])
+                    pair = keys[start]
+                    sides[side[start]].append(batch.slice(start, i - start).select(["id", "component", "text"]))
+                    start = i
+    if pair is not None:
+        yield finish()
+
+
+def _family_links(placed: DataFrame, texts: DataFrame, words: int, least_percent: int) -> DataFrame:
+    """a, b and linked (always true): links that connect all linked texts of buckets not connected so far.
+
+    Buckets that share texts are one family. Its texts are dealt by hash into tiles; a task compares
+    two tiles, so a family of any size is spread over many tasks.
+    """
+    opened = durable(_open_buckets(placed).select("id", "component", "leader").distinct())
+    families = connected_components(opened.select(F.col("id").alias("u"), F.col("leader").alias("v")))
+    members = durable(
+        opened.select("id", "component")
         .distinct()
+        .join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id", "left")
+        .withColumn("family", F.coalesce("family", "id"))
+    )
+    counts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE_TEXTS).cast("int").alias("tiles"))
+    tile, other = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.col("other")
+    dealt = (
+        members.join(counts, "family")
+        .join(texts.hint("merge"), "id")
+        .withColumn("tile", tile)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select(
+            "family",
+            F.least("tile", other).alias("first"),
+            F.greatest("tile", other).alias("second"),
+            (F.col("tile") > other).cast("int").alias("side"),
+            "id",
+            "component",
+            "text",
+        )
+    )
+    return durable(
+        dealt.repartition("family", "first", "second")
+        .sortWithinPartitions("family", "first", "second", "side")
+        .mapInArrow(lambda batches: _compared_tiles(batches, words, least_percent), "a bigint, b bigint")
+        .withColumn("linked", F.lit(True))
     )
-    for old in tested:
-        pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs.join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return pairs
 
 
 def near_groups(
@@ -253,10 +348,10 @@ def near_groups(
         .dropDuplicates(["id"])
     )
     tested: list[DataFrame] = []
-    for turn in range(leader_rounds + 1):
+    for _ in range(leader_rounds):
         placed = durable(_placed(members, tested))
-        choose = _leader_pairs if turn < leader_rounds else _remaining_pairs
-        tested.append(confirmed(choose(placed, tested, least_percent), texts, words, least_percent))
+        tested.append(confirmed(_leader_pairs(placed, tested, least_percent), texts, words, least_percent))
+    tested.append(_family_links(durable(_placed(members, tested)), texts, words, least_percent))
     edges = reduce(DataFrame.unionByName, tested).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     tied = connected_components(edges)
     grouped = classes.join(tied, classes["id"] == tied["node"], "left").select(
