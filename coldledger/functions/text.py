@@ -57,10 +57,21 @@ def utc_iso(moment: Column) -> Column:
 
 
 def significant(value: Column, digits: int) -> Column:
-    """``value`` with that many significant digits and no exponent or padding."""
+    """``value`` with that many significant digits and no exponent or padding; null stays null.
+
+    Not a number and both infinities have names; from 1e38 on the plain text of the number stands.
+    """
     scientific = F.format_string(f"%.{digits - 1}e", value * _TIE_NUDGE)
-    plain = scientific.cast("decimal(38,18)").cast("string")
-    return F.when(F.isnan(value), F.lit("NaN")).otherwise(F.regexp_replace(plain, r"\.?0+$", ""))
+    small = F.regexp_replace(scientific.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    large = scientific.try_cast("decimal(38,0)").cast("string")
+    infinity = F.lit(float("inf"))
+    return (
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(value), F.lit("NaN"))
+        .when(value == infinity, F.lit("Infinity"))
+        .when(value == -infinity, F.lit("-Infinity"))
+        .otherwise(F.coalesce(small, large, value.cast("string")))
+    )
 
 
 def fixed(value: Column, decimals: int, width: int = 0) -> Column:

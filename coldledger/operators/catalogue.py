@@ -126,7 +126,8 @@ def reusable_volumes(
 
     Volumes are combined per snapshot before the join.
     """
-    free = F.forall(F.col("attachments"), lambda a: a["InstanceId"] == instance_id)
+    # A volume without attachments is free.
+    free = F.coalesce(F.forall(F.col("attachments"), lambda a: a["InstanceId"] == instance_id), F.lit(True))
     first = (
         volumes.where(has_tag(F.col("tags"), tag) & (F.col("availability_zone") == zone) & free)
         .groupBy("snapshot_id")
@@ -208,7 +209,7 @@ def outcome_report(outcomes: DataFrame) -> DataFrame:
         )
     )
     return with_positions(
-        headers.unionByName(lines), [F.col("section").asc(), F.col("part").asc(), F.col("snapshot_id").asc()]
+        headers.unionByName(lines), [F.col("section").asc(), F.col("part").asc(), F.col("snapshot_id").asc(), F.col("line").asc()]
     ).select("position", "line")
 
 

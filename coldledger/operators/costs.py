@@ -55,7 +55,7 @@ def volume_rollup(described: DataFrame, volumes: DataFrame) -> DataFrame:
         *VOLUME_KEYS, F.col("size").alias("_size"), volume_name(F.col("tags")).alias("_name"), F.lit(True).alias("_known")
     )
     size = F.coalesce(F.col("_size"), F.col("_first_seen_size"))
-    change = (F.col("monthly_gb") - F.col("first_gb")) / F.col("snapshots") / F.col("size") * 100
+    change = (F.col("monthly_gb") - F.col("first_gb")) / F.col("snapshots") / F.nullif(F.col("size"), F.lit(0)) * 100
     return (
         chains.join(known, VOLUME_KEYS, "left")
         .withColumn("size", size)
@@ -84,7 +84,7 @@ def snapshot_changes(placed: DataFrame) -> DataFrame:
     """
     first = _by_date() == F.col("first_key")
     return placed.withColumn("is_first", first).withColumn(
-        "change_pct", F.when(~first, F.col("monthly_gb") / F.col("size") * 100)
+        "change_pct", F.when(~first, F.col("monthly_gb") / F.nullif(F.col("size"), F.lit(0)) * 100)
     )
 
 

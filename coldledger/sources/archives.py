@@ -36,6 +36,10 @@ def _as_bytes(name: str) -> bytes:
     return name.encode("utf-8", "surrogateescape")
 
 
+# How files of other packers begin.
+_REFUSED = {"lz4": b"\x04\x22\x4d\x18", "bzip2": b"BZh", "xz": b"\xfd7zX"}
+
+
 def _open(archive: str, stack: ExitStack) -> tuple[tarfile.TarFile, bool]:
     """The archive and whether it is compressed."""
     stream = stack.enter_context(open(archive, "rb"))
@@ -49,6 +53,9 @@ def _open(archive: str, stack: ExitStack) -> tuple[tarfile.TarFile, bool]:
 
         stream = stack.enter_context(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True))
         mode = "r|"
+    for name, start in _REFUSED.items():
+        if magic.startswith(start):
+            raise ValueError(f"{archive} is packed by {name}, which is not read; unpack it first")
     tar = tarfile.open(fileobj=stream, mode=mode, encoding="utf-8", errors="surrogateescape")
     return stack.enter_context(tar), mode != "r:"
 
