@@ -5,6 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +68,58 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark can write to; none is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Staging:
+    """Owner of the tables that ``durable`` writes while ``recording``, until ``release`` deletes them."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    @contextmanager
+    def recording(self) -> Iterator[Staging]:
+        token = _owner.set(self)
+        try:
+            yield self
+        finally:
+            _owner.reset(token)
+
+    def release(self, spark: SparkSession) -> None:
+        while self.folders:
+            delete_folder(spark, self.folders[-1])
+            self.folders.pop()
+
+
+_owner: ContextVar[Staging | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[Staging]:
+    """Delete at the end what ``durable`` writes within; results must be written out before that."""
+    owner = Staging()
+    try:
+        with owner.recording():
+            yield owner
+    finally:
+        owner.release(spark)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and carry on from that.
 
     For results that several branches read: they are computed once, readers take
     only the columns they need, the planner knows the size, and a lost executor
-    costs a re-read instead of the whole lineage.
+    costs a re-read instead of the whole lineage. The table stays until its
+    ``Staging``, if there is one, is released.
     """
     path = new_folder(df.sparkSession, "table")
+    owner = _owner.get()
+    if owner is not None:
+        owner.folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

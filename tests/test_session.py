@@ -39,3 +39,24 @@ def test_durable_keeps_rows_and_schema(spark):
     assert sorted(map(str, session.durable(df).collect())) == sorted(map(str, df.collect()))
     empty = session.durable(df.where("id < 0"))
     assert empty.count() == 0 and empty.dtypes == df.dtypes
+
+
+def test_staged_tables_go_with_their_owner(spark, tmp_path):
+    target = str(tmp_path / "out")
+    with session.staged(spark) as owner:
+        first = session.durable(spark.range(5).toDF("id"))
+        session.durable(first.where("id > 2")).write.parquet(target)
+        folders = list(owner.folders)
+        assert len(folders) == 2 and all(os.path.isdir(folder) for folder in folders)
+    assert not any(os.path.exists(folder) for folder in folders)
+    assert spark.read.parquet(target).count() == 2
+    kept = session.durable(spark.range(1).toDF("id"))
+    assert folders != owner.folders == [] and kept.count() == 1
+
+
+def test_staged_tables_go_after_a_failure(spark):
+    with pytest.raises(RuntimeError), session.staged(spark) as owner:
+        session.durable(spark.range(5).toDF("id"))
+        folders = list(owner.folders)
+        raise RuntimeError
+    assert folders and not any(os.path.exists(folder) for folder in folders)
