@@ -2,57 +2,152 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 
 _GZIP_MAGIC = b"\x1f\x8b"
-
-
-def _check_not_hidden_gzip(spark: SparkSession, path: str) -> None:
-    """Spark picks the codec by file name, so gzip under another name reads as noise."""
-    if path.endswith(".gz"):
-        return
-    first = spark.read.text(path).select(F.col("value").cast("binary").alias("v")).first()
-    if first is not None and bytes(first["v"]).startswith(_GZIP_MAGIC):
-        raise ValueError(f"{path} is gzip data; name it with a .gz ending")
+#: A header row is looked for in so many bytes of a file.
+HEAD_BYTES = 1 << 18
+# Heads are read by so many threads of the driver.
+_THREADS = 32
+# Rows of a partition have numbers of so many bits; the others of 63 number the blocks.
+_ROW_BITS = 33
+_SCHEME = "^([A-Za-z0-9+.-]+):/+"
 
 
 def _column(name: str) -> Column:
     return F.col(f"`{name}`").alias(name)
 
 
-def _read_one(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    _check_not_hidden_gzip(spark, path)
-    report = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    missing = [name for name in fv.USAGE_COLUMNS if name not in report.columns]
+def _files(spark: SparkSession, path: str) -> Iterator[JavaObject]:
+    """Status of each file under ``path``, which may be a pattern, in the order of names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def below(status: JavaObject) -> Iterator[JavaObject]:
+        if not status.isDirectory():
+            yield status
+            return
+        inside = system.listStatus(status.getPath())
+        for child in sorted(inside, key=lambda each: each.getPath().getName()):
+            if not child.getPath().getName().startswith(("_", ".")):
+                yield from below(child)
+
+    found = system.globStatus(root)
+    if not found:
+        raise ValueError(f"{path} does not exist")
+    for status in found:
+        yield from below(status)
+
+
+def _header(spark: SparkSession, status: JavaObject) -> tuple[str, ...]:
+    """The names in a file's header row; none for an empty file.
+
+    Spark picks the codec by file name, so gzip under another name would read as noise.
+    """
+    path = status.getPath()
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        head = bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
+    packed = path.getName().endswith(".gz")
+    if head.startswith(_GZIP_MAGIC) and not packed:
+        raise ValueError(f"{path.toString()} is gzip data; name it with a .gz ending")
+    if packed and head:
+        head = zlib.decompressobj(31).decompress(head, HEAD_BYTES)
+    lines = head.decode("utf-8-sig", "replace").splitlines(keepends=True)
+    if not lines:
+        return ()
+    names = tuple(next(csv.reader(lines)))
+    missing = [name for name in fv.USAGE_COLUMNS if name not in names]
     if missing:
-        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
-    return report.select(*[_column(name) for name in fv.USAGE_COLUMNS])
+        raise ValueError(f"{path.toString()} lacks the columns {', '.join(missing)}")
+    return names
 
 
-def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+def _schema(names: Sequence[str]) -> T.StructType:
+    """All columns as text; those that are not needed, or repeat a name, are named by their place."""
+    return T.StructType(
+        [
+            T.StructField(name if name in fv.USAGE_COLUMNS and names.index(name) == i else f"_c{i}", T.StringType())
+            for i, name in enumerate(names)
+        ]
+    )
+
+
+def _least_split(spark: SparkSession) -> int:
+    """No split but the last of a file has fewer bytes."""
+    sizes = (spark.conf.get(f"spark.sql.files.{name}") for name in ("maxPartitionBytes", "openCostInBytes"))
+    return max(1, min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size) for size in sizes))
+
+
+def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """The report's five needed columns as text, plus ``seq``.
 
-    Columns are found by header name; order and extra columns do not matter, and
-    every path may have its own. ``seq`` counts up through the paths in the
-    order given and through the lines of each file. A cell may contain line
-    breaks; for plain files known to have none, ``multi_line=False`` lets Spark
-    split large files between tasks.
+    Columns are found by header name; order and extra columns do not matter, and every file may
+    have its own. Files with the same header are one scan, and no job runs per file. An empty cell
+    is an empty text. ``seq`` counts up through the paths in the order given (a file named twice
+    is read once), through the files of a directory by name, and through the lines of each file,
+    however Spark deals the files to tasks.
+
+    Spark splits large plain files between tasks. Where cells hold line breaks, ``multi_line`` must
+    be set, and each file is one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reports = [_read_one(spark, path, multi_line) for path in paths]
-    return reduce(DataFrame.unionByName, reports).withColumn("seq", F.monotonically_increasing_id())
+    files = list({status.getPath().toUri().toString(): status for path in paths for status in _files(spark, path)}.items())
+    with ThreadPoolExecutor(_THREADS) as pool:
+        headers = list(pool.map(lambda file: _header(spark, file[1]), files))
+    unit, block = _least_split(spark), 0
+    same_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    first_blocks: list[tuple[str, int]] = []
+    for (name, status), header in zip(files, headers):
+        if header:
+            same_header[header].append(status.getPath().toString())
+            first_blocks.append((name, block))
+            block += 1 + status.getLen() // unit
+    if not same_header:
+        raise ValueError(f"no file of {', '.join(paths)} has a header row")
+    if block >> (63 - _ROW_BITS):
+        raise ValueError("too many blocks to number; raise spark.sql.files.openCostInBytes")
+    scans = [
+        spark.read.schema(_schema(header))
+        .option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .csv(same)
+        .select(
+            *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in fv.USAGE_COLUMNS],
+            F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("_file"),
+            F.floor(F.col("_metadata.file_block_start") / unit).alias("_block"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
+        )
+        for header, same in same_header.items()
+    ]
+    # As small as the list of files that the driver holds; the planner knows its size.
+    ranks = spark.createDataFrame(first_blocks, "_file string, _first bigint").withColumn(
+        "_file", F.regexp_replace("_file", _SCHEME, "$1:/")
+    )
+    first = F.coalesce("_first", F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))).cast("bigint"))
+    return (
+        reduce(DataFrame.unionByName, scans)
+        .join(ranks, "_file", "left")
+        .select(
+            *[_column(name) for name in fv.USAGE_COLUMNS],
+            (F.shiftleft(first + F.col("_block"), _ROW_BITS) + F.col("_row")).alias("seq"),
+        )
+    )
 
 
 def write_usage_report(report: DataFrame, path: str, compression: str = "gzip") -> None:

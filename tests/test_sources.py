@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import os
 import random
 import tarfile
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from coldledger.functions import fixed_values as fv
 from coldledger.functions.paths import strip_directory, strip_root
-from coldledger.operators import manifests
+from coldledger.operators import manifests, usage
 from coldledger.sources import archives, directories, manifest_files, reports, usage_csv
 
 HELLO, GOODBYE = b"Hello, world!", b"Goodbye, world!"
@@ -21,6 +22,7 @@ LATIN1 = bytes.fromhex("746573742d456e206672616ee76169732c207327696c20766f757320
 UTF8 = "test-En français, s'il vous plaît?.txt".encode()
 
 HEADER = "lineItem/Operation,extra,lineItem/UsageAmount,identity/TimeInterval,lineItem/ResourceId,lineItem/UnblendedRate"
+ARN = "arn:aws:ec2:eu-west-1:123456789012:snapshot/snap-0123456789abcdef0"
 BODY = 'CreateSnapshot,"a, ""quoted"" cell",1.5,s/e,r1,0.05\nCreateVolume,"line\nbreak",2GB,s/e,r2,0.06\n'
 EXPECTED = [("CreateSnapshot", "r1", "s/e", "1.5", "0.05"), ("CreateVolume", "r2", "s/e", "2GB", "0.06")]
 
@@ -34,8 +36,8 @@ def test_report_plain_and_gzip(spark, tmp_path):
     plain, packed = tmp_path / "r.csv", tmp_path / "r.csv.gz"
     plain.write_text(f"{HEADER}\n{BODY}")
     packed.write_bytes(gzip.compress(plain.read_bytes()))
-    assert read(spark, str(plain)) == EXPECTED
-    assert read(spark, str(packed)) == EXPECTED
+    assert read(spark, str(plain), multi_line=True) == EXPECTED
+    assert read(spark, str(packed), multi_line=True) == EXPECTED
 
 
 def test_reports_with_other_column_orders(spark, tmp_path):
@@ -44,7 +46,7 @@ def test_reports_with_other_column_orders(spark, tmp_path):
     names = list(reversed(fv.USAGE_COLUMNS))
     second.write_text(",".join(names) + "\n5,4,3,2,1\n")
     # The order of the paths is the order of the lines.
-    assert read(spark, [str(second), str(first)]) == [("1", "2", "3", "4", "5"), *EXPECTED]
+    assert read(spark, [str(second), str(first)], multi_line=True) == [("1", "2", "3", "4", "5"), *EXPECTED]
 
 
 def test_hidden_gzip_and_missing_column(spark, tmp_path):
@@ -72,8 +74,50 @@ def test_report_written_and_read(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text(f"{HEADER}\n{BODY}")
     target = str(tmp_path / "out")
-    usage_csv.write_usage_report(usage_csv.read_usage_report(spark, str(path)), target)
-    assert sorted(read(spark, target)) == sorted(EXPECTED)
+    usage_csv.write_usage_report(usage_csv.read_usage_report(spark, str(path), multi_line=True), target)
+    assert sorted(read(spark, target, multi_line=True)) == sorted(EXPECTED)
+
+
+def test_order_of_files_is_not_their_size(spark, tmp_path):
+    """Spark deals larger files first; of lines with the same start, the earliest counts."""
+    folder = tmp_path / "parts of a report"
+    folder.mkdir()
+    line = f"CreateSnapshot,x,{{}},2024-01-01T00:00:00Z/2024-01-02T00:00:00Z,{ARN},{{}}\n"
+    (folder / "1.csv").write_text(f"{HEADER}\n" + line.format("1.0", "0.05"))
+    (folder / "2.csv").write_text(f"{HEADER}\n" + line.format("9.0", "0.09") * 500)
+    for paths, amount, rate in [
+        (str(folder), 1.0, 0.05),
+        ([str(folder / "1.csv"), str(folder / "2.csv")], 1.0, 0.05),
+        ([str(folder / "2.csv"), str(folder / "1.csv")], 9.0, 0.09),
+    ]:
+        report = usage_csv.read_usage_report(spark, paths)
+        assert report.select("seq").distinct().count() == 501
+        (row,) = usage.latest_usage(usage.parse_usage(report)).collect()
+        assert (row.usage_amount, row.unblended_rate) == (amount, rate)
+
+
+def test_many_files_are_read_without_a_job_each(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i:04}.csv").write_text(f"{HEADER}\nCreateSnapshot,x,{i},s/e,r,0.05\n")
+    (tmp_path / "0050.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        report = usage_csv.read_usage_report(spark, str(tmp_path))
+        assert len(tracker.getJobIdsForGroup("building")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [int(r[2]) for r in report.orderBy("seq").select("seq", "seq", f"`{fv.COL_AMOUNT}`").collect()] == [
+        i for i in range(200) if i != 50
+    ]
+
+
+def test_empty_cells_are_no_numbers(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    line = f'CreateSnapshot,x,{{}},2024-01-01T00:00:00Z/2024-01-02T00:00:00Z,{ARN},""\n'
+    path.write_text(f"{HEADER}\n" + line.format(""))
+    (row,) = usage.parse_usage(usage_csv.read_usage_report(spark, str(path))).collect()
+    assert math.isnan(row.usage_amount) and math.isnan(row.unblended_rate)
 
 
 def test_manifest_round_trip_of_random_bytes(spark, tmp_path):
