@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
+#: Rows of a regression that are worked on at a time, to bound the driver's memory.
+BLOCK_ROWS = 8192
+
 
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``."""
@@ -18,7 +26,7 @@ def training_rows(
     """``docs`` with their ``label``, of at most ``most_rows`` labelled ids whose remainder is not ``held_out``.
 
     The ids are the ones with the lowest hashes. Ids with a null label or with different labels are
-    left out. The sample is small by its bound, so it is broadcast.
+    left out. The sample is small by its bound, so it is staged and broadcast.
     """
     usable = (
         labels.select(F.col(doc_id).cast("long").alias("label_id"), F.col(target).cast("int").alias("label"))
@@ -29,33 +37,50 @@ def training_rows(
         .where("label = highest")
         .select("label_id", "label")
     )
-    sample = usable.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows).toPandas()
-    known = docs.sparkSession.createDataFrame(
-        [(int(i), int(y)) for i, y in zip(sample["label_id"], sample["label"])], "label_id long, label int"
-    )
+    known = durable(usable.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows))
     return docs.join(F.broadcast(known), F.col(f"`{doc_id}`").cast("long") == F.col("label_id")).drop("label_id")
 
 
+class Rows(Protocol):
+    """A matrix of which a slice of rows is made when it is asked for."""
+
+    shape: tuple[int, int]
+
+    def __getitem__(self, rows: slice) -> np.ndarray: ...
+
+
 def logistic(
-    x: np.ndarray, y: np.ndarray, ridge: float, intercept: bool, rounds: int = 40
+    x: np.ndarray | Rows, y: np.ndarray, ridge: float, intercept: bool, rounds: int = 40
 ) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft labels ``y``, by damped Newton steps."""
-    if intercept:
-        x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge * len(x))
+    """Weights of a ridge logistic regression on soft labels ``y``, by damped Newton steps.
+
+    Rows are worked on BLOCK_ROWS at a time, so no second copy of ``x`` is held.
+    """
+    count, width = x.shape[0], x.shape[1] + intercept
+    penalty = np.full(width, ridge * count)
     if intercept:
-        penalty[-1] = 1e-9 * len(x)
+        penalty[-1] = 1e-9 * count
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, count, BLOCK_ROWS):
+            rows = x[start : start + BLOCK_ROWS]
+            yield np.hstack([rows, np.ones((len(rows), 1))]) if intercept else rows, y[start : start + BLOCK_ROWS]
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+        total = 0.5 * (penalty * w * w).sum()
+        for rows, wanted in blocks():
+            z = rows @ w
+            total += (np.logaddexp(0, z) - wanted * z).sum()
+        return float(total)
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     value = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (p - y) + penalty * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        slope, bend = penalty * w, np.diag(penalty + 1e-9)
+        for rows, wanted in blocks():
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -500, 500)))
+            slope += rows.T @ (p - wanted)
+            bend += (rows * (p * (1 - p))[:, None]).T @ rows
         step = np.linalg.solve(bend, slope)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > value:
