@@ -10,7 +10,7 @@ from ..functions.ordering import order_key
 from ..functions.tags import volume_name
 from ..functions.text import fixed, plural, round_half_up, significant, utc_date, utc_seconds
 from ..session import durable
-from .skew import HOT_MIN_ROWS, join_spread, semi_join_spread, with_positions
+from .skew import PART_ROWS, join_spread, semi_join_spread, with_positions, with_rows
 from .usage import current_usage, distinct_owners, region_latest
 
 VOLUME_KEYS = ["region", "volume_id"]
@@ -22,12 +22,9 @@ def with_snapshots(latest: DataFrame, snapshots: DataFrame) -> DataFrame:
     Billed snapshots without a description are taken to be deleted and left out.
     Both sides of the join have one row per key.
     """
-    described = semi_join_spread(
-        snapshots.where(F.col("status") == fv.STATUS_COMPLETED),
-        distinct_owners(latest),
-        ["owner_id"],
-        "snapshot_id",
-    ).select("region", "snapshot_id", "volume_id", "volume_size", "start_time", "description")
+    completed = snapshots.where(F.col("status") == fv.STATUS_COMPLETED)
+    owners = with_rows(distinct_owners(latest), completed, ["owner_id"])
+    described = semi_join_spread(completed, owners, ["owner_id"], "snapshot_id").select("region", "snapshot_id", "volume_id", "volume_size", "start_time", "description")
     return current_usage(latest).join(described, ["region", "snapshot_id"])
 
 
@@ -66,14 +63,14 @@ def volume_rollup(described: DataFrame, volumes: DataFrame) -> DataFrame:
     )
 
 
-def with_volumes(described: DataFrame, rollup: DataFrame, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def with_volumes(described: DataFrame, rollup: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Every current snapshot with its volume's attributes.
 
     ``described`` and ``rollup`` should be ``durable``: both are read twice.
     """
     attributes = rollup.select(*VOLUME_KEYS, "size", "deleted", "volume_name", "first_key", "volume_seq")
     counts = rollup.select(*VOLUME_KEYS, F.col("snapshots").alias("rows"))
-    return join_spread(described, attributes, VOLUME_KEYS, counts, "resource_id", hot_min_rows)
+    return join_spread(described, attributes, VOLUME_KEYS, counts, "resource_id", part_rows)
 
 
 def snapshot_changes(placed: DataFrame) -> DataFrame:

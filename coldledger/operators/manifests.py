@@ -61,9 +61,10 @@ def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     )
     repeated = (F.col("n_left") > 1) | (F.col("n_right") > 1)
     pairs = names.where(~repeated).select("filename", F.lit(1).cast("bigint").alias("copy"), "left_hash", "right_hash")
-    again = names.where(repeated).select("filename")
-    if not again.isEmpty():
-        pairs = pairs.unionByName(_pair_copies(semi_join_spread(rows, again, ["filename"], "hash")))
+    again = names.where(repeated).select("filename", (F.col("n_left") + F.col("n_right")).alias("rows"))
+    # Spread by row: a hot name's records may all have one hash.
+    spread = semi_join_spread(rows.withColumn("_row", F.monotonically_increasing_id()), again, ["filename"], "_row")
+    pairs = pairs.unionByName(_pair_copies(spread.drop("_row")))
     return pairs.withColumn("status", _status())
 
 

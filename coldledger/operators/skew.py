@@ -9,73 +9,69 @@ from pyspark.sql import functions as F
 
 from ..session import with_fixed_partitions
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there can be
-# at most HOT_SHARE hot keys: that bounds what is broadcast here.
+# A key is split when it holds more than 1/HOT_SHARE of all rows, so there can be
+# at most HOT_SHARE such keys: that bounds what is broadcast here.
 HOT_SHARE = 1000
-HOT_MIN_ROWS = 1_000_000
-SALTS = 64
-# Counted tables of narrow rows up to this many rows are broadcast.
-BROADCAST_ROWS = 100_000
+# Rows of one part of a split key, at most.
+PART_ROWS = 1_000_000
 _ROW_BITS = 33
 
 
+def parts_per_key(rows_per_key: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """The hot keys of ``rows_per_key``, at most HOT_SHARE, and into how many parts each is split."""
+    total = rows_per_key.agg(F.sum("rows").alias("total")).scalar()
+    most = F.greatest(F.least(F.lit(part_rows), F.floor(total / HOT_SHARE)), F.lit(1))
+    return rows_per_key.where(F.col("rows") * HOT_SHARE > total).select(
+        *keys, F.ceil(F.col("rows") / most).cast("int").alias("_parts")
+    )
+
+
+def _spread(
+    facts: DataFrame, dims: DataFrame, keys: list[str], rows_per_key: DataFrame, spread_by: str, how: str, part_rows: int
+) -> DataFrame:
+    """Join with every hot key split into as many parts as its rows ask for."""
+    hot = F.broadcast(parts_per_key(rows_per_key, keys, part_rows))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    salt = F.pmod(F.xxhash64(F.col(spread_by)), parts).cast("int")
+    salted_facts = facts.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    salted_dims = dims.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return salted_facts.join(salted_dims, [*keys, "_salt"], how).drop("_salt")
+
+
 def join_spread(
     facts: DataFrame,
     dims: DataFrame,
     keys: Sequence[str],
     rows_per_key: DataFrame,
     spread_by: str,
-    hot_min_rows: int = HOT_MIN_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Left join of ``facts`` with ``dims`` (unique per key), splitting hot keys.
 
-    ``rows_per_key`` holds the keys and a ``rows`` count of ``facts``. Rows of a
-    hot key are spread over ``SALTS`` sub-keys by a hash of ``spread_by``; its
-    one dimension row is repeated for each of them. Other keys are untouched.
+    ``rows_per_key`` holds the keys and a ``rows`` count of ``facts``. A key with
+    more than a thousandth of all rows is split by a hash of ``spread_by`` into
+    parts of at most ``part_rows`` rows and at most a thousandth of all, on
+    average; its one dimension row is repeated for each. Other keys are untouched.
     """
-    keys = list(keys)
-    total = rows_per_key.agg(F.sum("rows").alias("total"))
-    hot = (
-        rows_per_key.where(F.col("rows") >= hot_min_rows)
-        .where(F.col("rows") * HOT_SHARE > total.scalar())
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)).cast("int")
-    salted_facts = facts.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    salted_dims = dims.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    joined = salted_facts.drop("_hot").join(salted_dims.drop("_hot"), [*keys, "_salt"], "left")
-    return joined.drop("_salt")
+    return _spread(facts, dims, list(keys), rows_per_key, spread_by, "left", part_rows)
 
 
 def semi_join_spread(
-    facts: DataFrame,
-    wanted: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    facts: DataFrame, wanted: DataFrame, keys: Sequence[str], spread_by: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """``facts`` whose key is in ``wanted``, whose keys are distinct.
 
-    ``wanted`` is counted first, so it should be cheap to count: an aggregate of
-    a ``durable`` table. A small one is broadcast. A larger one is repeated per
-    salt, so that a hot key of ``facts`` meets ``SALTS`` tasks.
+    ``wanted`` has the keys and ``rows``, how many of ``facts`` each has. Hot keys
+    are split as in ``join_spread``; only these are repeated, by their own counts.
     """
     keys = list(keys)
-    wanted = wanted.select(*keys)
-    if wanted.count() <= broadcast_rows:
-        return facts.join(F.broadcast(wanted), keys, "left_semi").select(*facts.columns)
-    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)).cast("int")
-    spread_facts = facts.withColumn("_salt", spread)
-    return spread_facts.join(salted, [*keys, "_salt"], "left_semi").select(*facts.columns)
+    counted = wanted.select(*keys, "rows")
+    return _spread(facts, counted.select(*keys), keys, counted, spread_by, "left_semi", part_rows).select(*facts.columns)
+
+
+def with_rows(wanted: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``wanted`` keys that ``facts`` has, with their number of ``rows`` there."""
+    return wanted.join(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), list(keys))
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.ordering import order_key
 from ..functions.text import epoch_seconds, interval_bounds, is_interval, parse_float_lenient
-from .skew import semi_join_spread
+from .skew import semi_join_spread, with_rows
 
 
 def _snapshot_lines(report: DataFrame) -> DataFrame:
@@ -120,6 +120,7 @@ def current_usage(latest: DataFrame) -> DataFrame:
     ``durable`` so that the report is scanned only once for both uses here.
     """
     newest = region_latest(latest).select("region", F.col("latest_seconds").alias("start_seconds"))
+    newest = with_rows(newest, latest, ["region", "start_seconds"])
     monthly = monthly_usage(F.col("usage_amount"), F.col("interval_seconds"))
     return (
         semi_join_spread(latest, newest, ["region", "start_seconds"], "resource_id")

@@ -135,7 +135,7 @@ def test_hot_volume_is_split(spark, monkeypatch):
     _, described, rollup = chain(spark)
     columns = ["snapshot_id", "size", "deleted", "volume_name"]
     plain = sorted(map(tuple, costs.with_volumes(described, rollup).select(*columns).collect()))
-    split = costs.with_volumes(described, rollup, hot_min_rows=1)
+    split = costs.with_volumes(described, rollup, part_rows=1)
     assert sorted(map(tuple, split.select(*columns).collect())) == plain
     assert len(plain) == 22
 
@@ -162,15 +162,34 @@ def test_join_spread_equals_plain_join(spark):
     dims = spark.range(49).selectExpr("id AS k", "id * 10 AS v")
     counts = facts.groupBy("k").count().withColumnRenamed("count", "rows")
     plain = sorted(map(tuple, facts.join(dims, "k", "left").select("id", "k", "v").collect()), key=str)
-    spread = skew.join_spread(facts, dims, ["k"], counts, "id", hot_min_rows=100)
+    spread = skew.join_spread(facts, dims, ["k"], counts, "id", part_rows=100)
     assert sorted(map(tuple, spread.select("id", "k", "v").collect()), key=str) == plain
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", [3, 1000])
 def test_semi_join_spread(spark, limit):
     facts = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 50 END AS k")
-    wanted = spark.createDataFrame([(0,), (7,), (99,)], "k bigint")
+    wanted = skew.with_rows(spark.createDataFrame([(0,), (7,), (99,)], "k bigint"), facts, ["k"])
     got = skew.semi_join_spread(facts, wanted, ["k"], "id", limit)
     expected = [i for i in range(5000) if (0 if i % 3 == 0 else i % 50) in (0, 7, 99)]
     assert sorted(r.id for r in got.collect()) == expected
     assert got.columns == ["id", "k"]
+
+
+@pytest.mark.parametrize("scale", [1, 4])
+def test_parts_follow_the_rows_of_a_key(spark, scale):
+    counts = spark.createDataFrame([(0, 2000 * scale), (1, 999 * scale), (2, 1)], "k bigint, rows bigint")
+    # A part holds at most a thousandth of all rows.
+    share = (2999 * scale + 1) // 1000
+    expected = {0: -(-2000 * scale // share), 1: -(-999 * scale // share)}
+    got = {r.k: r._parts for r in skew.parts_per_key(counts, ["k"]).collect()}
+    assert got == expected
+    got = {r.k: r._parts for r in skew.parts_per_key(counts, ["k"], part_rows=2).collect()}
+    assert got == {0: 1000 * scale, 1: -(-999 * scale // 2)}
+
+
+def test_semi_join_of_many_keys_repeats_none_of_the_cold(spark):
+    facts = spark.range(300_000).selectExpr("id", "id % 150000 AS k")
+    wanted = skew.with_rows(spark.range(120_000).selectExpr("id AS k"), facts, ["k"])
+    assert skew.parts_per_key(wanted, ["k"]).count() == 0
+    assert skew.semi_join_spread(facts, wanted, ["k"], "id").count() == 240_000
