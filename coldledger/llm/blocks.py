@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 # Fixed values of the markup language.
@@ -30,6 +31,11 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|[^<]+|<",
     re.S,
 )
+# What is between these tags is no markup. Scripts have comments, in which a script may stand whole.
+_PLAIN_ENDS = {
+    "script": re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f\r />])", re.I | re.A),
+    "style": re.compile(r"<(/)style(?=[\t\n\f\r />])", re.I | re.A),
+}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -42,6 +48,38 @@ class Block:
     link_chars: int
 
 
+def _plain_end(page: str, tag: str, place: int) -> int:
+    """Where the end tag of the script or style whose content begins at ``place`` begins."""
+    comment = inner = False
+    while found := _PLAIN_ENDS[tag].search(page, place):
+        place = found.end()
+        if found.group() == "<!--":
+            comment = True
+            place -= 2  # its dashes may be those of its end
+        elif found.group() == "-->":
+            comment = inner = False
+        elif not found.group(1):
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return found.start()
+    return len(page)
+
+
+def _tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tags, comments and runs of text, without the content of scripts and styles."""
+    place: int | None = 0
+    while place is not None:
+        start, place = place, None
+        for token in _TOKEN.finditer(page, start):
+            yield token
+            name = token.group(2)
+            if name and name.lower() in _PLAIN_ENDS and not token.group(1) and not token.group(3).rstrip().endswith("/"):
+                place = _plain_end(page, name.lower(), token.end())
+                break
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of ``page`` in order. Character references are decoded, white space inside a block
     becomes one space, blocks without text are left out. Scripts, styles and comments have no text."""
@@ -75,7 +113,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 return None
         return None
 
-    for token in _TOKEN.finditer(page):
+    for token in _tokens(page):
         closing, name, rest = token.group(1), token.group(2), token.group(3)
         if name is None:
             if skip is None and not token.group().startswith(("<!", "<?")):

@@ -22,6 +22,7 @@ from coldledger.llm import (
     toxicity,
     warc,
 )
+from coldledger.llm.blocks import leaf_blocks
 from coldledger.llm.chunking import chunk_ends
 from coldledger.llm.components import connected_components
 from coldledger.llm.training_pages import labelled_pages
@@ -252,6 +253,25 @@ def test_extraction_on_pages_of_other_seeds():
     assert wrong < 0.03 * total
 
 
+@pytest.mark.parametrize(
+    "script",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT>a<b</Script >",
+        "<script><!-- f()</script>",
+        "<script><!--> f(); <!-- <script>g()</script> --></script>",
+        "<script>if(a<b){s=\"it's\"}</script>",
+        "<script>s='<x y=\"'</script>",
+        "<style>a:after{content:'<b \"'}</style>",
+        "<style><!-- p{margin:0}</style>",
+        "<script>s='</scripts>'</script>",
+    ],
+)
+def test_text_after_scripts_and_styles(script):
+    page = f"<p>A</p>{script}<p>Main text</p><script>last<one</script><p>End</p>"
+    assert [block.text for block in leaf_blocks(page)] == ["A", "Main text", "End"]
+
+
 def test_extraction_of_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, "u", "<p")], "page_id long, url string, html string")
