@@ -33,9 +33,10 @@ def analyse_report(
     snapshots: DataFrame,
     volumes: DataFrame,
     regions: Sequence[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """The cost report of usage report files, as numbered lines."""
-    report = read_usage_report(spark, paths)
+    """The cost report of usage report files, as numbered lines. ``multi_line`` as in ``read_usage_report``."""
+    report = read_usage_report(spark, paths, multi_line)
     return costs.report_lines(*cost_tables(report, snapshots, volumes, regions))
 
 

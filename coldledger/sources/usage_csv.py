@@ -93,7 +93,18 @@ def _least_split(spark: SparkSession) -> int:
     return max(1, min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size) for size in sizes))
 
 
-def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+def _require_closed_quotes(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Fail if a line of plain files ends within a quoted cell."""
+    # Without doubled quotes, a cell that begins with a quote must end with the next one.
+    single = F.regexp_replace("value", '""', "")
+    rest = F.regexp_replace(single, r'(?:^|(?<=,))"[^"]*+"(?=,|\z)', "")
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.where(F.contains("value", F.lit('"')) & rest.rlike('(?:^|,)"')).first()
+    if found is not None:
+        raise ValueError(f"{found['file']} has a line with an unclosed quote; read it with multi_line=True")
+
+
+def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """The report's five needed columns as text, plus ``seq``.
 
     Columns are found by header name; order and extra columns do not matter, and every file may
@@ -102,30 +113,35 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
     is read once), through the files of a directory by name, and through the lines of each file,
     however Spark deals the files to tasks.
 
-    Spark splits large plain files between tasks. Where cells hold line breaks, ``multi_line`` must
-    be set, and each file is one task.
+    Cells may hold line breaks, so each file is one task. Without ``multi_line``, Spark splits large
+    plain files between tasks; one more pass looks at their quotes first, and a cell with a line break
+    is an error. Gzip files are one task either way and may have such cells.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = list({status.getPath().toUri().toString(): status for path in paths for status in _files(spark, path)}.items())
     with ThreadPoolExecutor(_THREADS) as pool:
         headers = list(pool.map(lambda file: _header(spark, file[1]), files))
     unit, block = _least_split(spark), 0
-    same_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    same_header: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
     first_blocks: list[tuple[str, int]] = []
     for (name, status), header in zip(files, headers):
         if header:
-            same_header[header].append(status.getPath().toString())
+            whole = multi_line or status.getPath().getName().endswith(".gz")
+            same_header[header, whole].append(status.getPath().toString())
             first_blocks.append((name, block))
             block += 1 + status.getLen() // unit
     if not same_header:
         raise ValueError(f"no file of {', '.join(paths)} has a header row")
     if block >> (63 - _ROW_BITS):
         raise ValueError("too many blocks to number; raise spark.sql.files.openCostInBytes")
+    split = [path for (_, whole), same in same_header.items() if not whole for path in same]
+    if split:
+        _require_closed_quotes(spark, split)
     scans = [
         spark.read.schema(_schema(header))
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("multiLine", whole)
         .csv(same)
         .select(
             *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in fv.USAGE_COLUMNS],
@@ -133,7 +149,7 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
             F.floor(F.col("_metadata.file_block_start") / unit).alias("_block"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
         )
-        for header, same in same_header.items()
+        for (header, whole), same in same_header.items()
     ]
     # As small as the list of files that the driver holds; the planner knows its size.
     ranks = spark.createDataFrame(first_blocks, "_file string, _first bigint").withColumn(

@@ -36,8 +36,8 @@ def test_report_plain_and_gzip(spark, tmp_path):
     plain, packed = tmp_path / "r.csv", tmp_path / "r.csv.gz"
     plain.write_text(f"{HEADER}\n{BODY}")
     packed.write_bytes(gzip.compress(plain.read_bytes()))
-    assert read(spark, str(plain), multi_line=True) == EXPECTED
-    assert read(spark, str(packed), multi_line=True) == EXPECTED
+    assert read(spark, str(plain)) == EXPECTED
+    assert read(spark, str(packed)) == EXPECTED
 
 
 def test_reports_with_other_column_orders(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_reports_with_other_column_orders(spark, tmp_path):
     names = list(reversed(fv.USAGE_COLUMNS))
     second.write_text(",".join(names) + "\n5,4,3,2,1\n")
     # The order of the paths is the order of the lines.
-    assert read(spark, [str(second), str(first)], multi_line=True) == [("1", "2", "3", "4", "5"), *EXPECTED]
+    assert read(spark, [str(second), str(first)]) == [("1", "2", "3", "4", "5"), *EXPECTED]
 
 
 def test_hidden_gzip_and_missing_column(spark, tmp_path):
@@ -70,12 +70,29 @@ def test_order_of_lines_in_split_files(spark, tmp_path):
     assert [int(r[3]) for r in got] == list(range(20_000))
 
 
+def test_line_breaks_in_split_files(spark, tmp_path):
+    """An error in plain files, wherever the cell is; gzip files are not split and may have them."""
+    plain, packed = tmp_path / "r.csv", tmp_path / "r.csv.gz"
+    packed.write_bytes(gzip.compress(f"{HEADER}\n{BODY}".encode()))
+    assert read(spark, str(packed), multi_line=False) == EXPECTED
+    cells = "CreateSnapshot,{},1.5,s/e,r1,{}\n"
+    for odd in ['"line\nbreak"', '"a ""b\nc"', '"""\nb"', '"x,\n1,2,3,4,5,6"', '"\n"']:
+        for line in (cells.format(odd, "0.05"), cells.format("x", odd), cells.format('5" disk', odd)):
+            plain.write_text(f"{HEADER}\n{cells.format('y', '0.05')}{line}")
+            with pytest.raises(ValueError, match="multi_line=True"):
+                read(spark, [str(packed), str(plain)], multi_line=False)
+    row = ("CreateSnapshot", "r1", "s/e", "1.5", "0.05")
+    sound = ['"a, ""quoted"" cell"', '""', '"""a"""', '"a"","', '5" disk', 'x""', '"' + 'a""' * 20_000 + '"']
+    plain.write_text(f"{HEADER}\n" + "".join(cells.format(cell, "0.05") for cell in sound))
+    assert read(spark, str(plain), multi_line=False) == read(spark, str(plain)) == [row] * len(sound)
+
+
 def test_report_written_and_read(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text(f"{HEADER}\n{BODY}")
     target = str(tmp_path / "out")
-    usage_csv.write_usage_report(usage_csv.read_usage_report(spark, str(path), multi_line=True), target)
-    assert sorted(read(spark, target, multi_line=True)) == sorted(EXPECTED)
+    usage_csv.write_usage_report(usage_csv.read_usage_report(spark, str(path)), target)
+    assert sorted(read(spark, target)) == sorted(EXPECTED)
 
 
 def test_order_of_files_is_not_their_size(spark, tmp_path):

@@ -37,6 +37,29 @@ def test_analyse_report_files(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_analyse_report_with_line_breaks(spark, tmp_path):
+    """Amounts behind a cell with a line break are neither lost nor changed, in plain and gzip files."""
+    _, snapshots, volumes = inputs(spark)
+    rows = [",".join([fv.USAGE_COLUMNS[0], "other", *fv.USAGE_COLUMNS[1:]])]
+    for i, (_, gb) in enumerate(VOL_A):
+        arn = f"arn:aws:ec2:us-west-2:123456789012:snapshot/snap-a{i:02d}"
+        rows.append(f'CreateSnapshot,"x,{{}}y",{arn},2017-05-25T00:00:00Z/2017-05-26T00:00:00Z,{gb / 30},0.05')
+    plain, broken, packed = tmp_path / "1.csv", tmp_path / "2.csv", tmp_path / "2.csv.gz"
+    plain.write_text("\n".join(rows).replace("{}", " "))
+    broken.write_text("\n".join(rows).replace("{}", "\n"))
+    packed.write_bytes(gzip.compress(broken.read_bytes()))
+
+    def lines(path, **options):
+        found = workflows.analyse_report(spark, str(path), snapshots, volumes, **options).orderBy("position").collect()
+        return [r.line for r in found]
+
+    wanted = lines(plain, multi_line=False)
+    assert f"for {len(VOL_A)} snapshots)" in wanted[0]
+    assert lines(broken) == lines(packed) == lines(packed, multi_line=False) == wanted
+    with pytest.raises(ValueError, match="unclosed quote"):
+        lines(broken, multi_line=False)
+
+
 @pytest.fixture
 def links(tmp_path):
     root = tmp_path / "links"
