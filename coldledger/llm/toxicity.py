@@ -23,7 +23,7 @@ from .labelled import logistic, remainder, training_rows
 
 #: Labelled documents to learn from, at most, and mined words, at most.
 TRAINING_ROWS = 10_000
-MINED_WORDS = 48
+MINED_WORDS = 256
 #: Lengths of word beginnings; they are written with a star.
 BEGINNINGS = (4, 5, 6, 7)
 #: Labels of ids whose remainder by DIVISOR is HELD_OUT are never learned from.
@@ -31,6 +31,8 @@ DIVISOR, HELD_OUT = 5, 0
 RIDGE = 1e-4
 #: How often a given label is taken to be right.
 LABEL_TRUST = 0.98
+#: Mined words are chosen until each toxic training text has so many, where there are any.
+VOTERS_OF_TEXT = 2
 # Common English, German, French and Spanish insults.
 LEXICON = (
     "asshole bastard bitch clown cretin disgusting dumb fool freak garbage idiot imbecile loser moron pathetic pig "
@@ -156,42 +158,70 @@ def _inputs(fired: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            words, labels = [], []
-            for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
+            words, labels, places = [], [], []
+            columns = (batch.column(name).to_pylist() for name in ("label", "place"))
+            for text, label, place in zip(texts_of(batch.column("text")), *columns):
                 own = set(_words(text))
                 own |= {word[:size] + "*" for word in own for size in BEGINNINGS if len(word) > size}
                 words += own
                 labels += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
+                places += [place if label else None] * len(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(places, pa.int64())],
+                ["word", "label", "place"],
+            )
 
 
-def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
-    """Words and beginnings of toxic training texts that clean ones have hardly ever, the most telling first.
+def covering_words(words: list[str], texts: list[np.ndarray], odds: np.ndarray, most: int) -> list[str]:
+    """``most`` of ``words`` at most, chosen one by one by the ``texts`` they add, times their log odds.
 
-    One must occur in at least a tenth as many toxic texts as the most telling one, and is left out
-    if another one that was chosen covers it.
+    A text counts for a word while no chosen word is in it; when no word adds three such texts, while
+    one chosen word is in it, and so on up to VOTERS_OF_TEXT. So a language's words do not compete with those of a larger
+    one for the same texts. A word is left out if a chosen one covers it.
     """
+    counts = np.array([len(own) for own in texts], np.int64)
+    owner = np.repeat(np.arange(len(words)), counts)
+    flat, place = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]), return_inverse=True)
+    starts = np.cumsum(counts) - counts
+    times, free = np.zeros(len(flat), np.int64), np.ones(len(words), bool)
+    chosen: dict[str, int] = {}
+    layer = 0
+    while len(chosen) < most and free.any() and layer < VOTERS_OF_TEXT:
+        added = np.bincount(owner, times[place] <= layer, len(words)) * free
+        if added.max() < 3:
+            layer += 1
+            continue
+        gain = np.where(added >= 3, added * odds, -np.inf)
+        k = int(gain.argmax())
+        word, count, free[k] = words[k], int(counts[k]), False
+        stem = word.rstrip("*")
+        covered = any(stem.startswith(old[:-1]) for old in chosen if old[-1] == "*")
+        covered |= word[-1] == "*" and any(old.startswith(stem) and 5 * count < 6 * n for old, n in chosen.items())
+        if not covered:
+            chosen[word] = count
+            times[place[starts[k] : starts[k] + count]] += 1
+    return list(chosen)
+
+
+def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
+    """Words and beginnings of toxic training texts that clean ones have hardly ever, the most telling first."""
     toxic, clean = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     if not toxic or not clean:
         return []
     counted = (
-        rows.select("label", "text")
-        .mapInArrow(_word_rows, "word string, label int")
+        rows.select("label", "text", F.monotonically_increasing_id().alias("place"))
+        .mapInArrow(_word_rows, "word string, label int, place bigint")
         .groupBy("word")
-        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+        .agg(
+            F.sum("label").alias("toxic"),
+            F.sum(1 - F.col("label")).alias("clean"),
+            F.collect_list("place").alias("places"),
+        )
         .where((F.col("toxic") >= 3) & (F.col("toxic") * clean > F.col("clean") * toxic * 20))
     )
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (clean / toxic))
-    best = counted.withColumn("tells", F.col("toxic") * odds).orderBy(F.desc("tells"), "word").limit(20 * most).collect()
-    chosen: dict[str, int] = {}
-    for row in best:
-        word, count = row["word"], row["toxic"]
-        stem = word.rstrip("*")
-        covered = any(stem.startswith(old[:-1]) for old in chosen if old[-1] == "*")
-        covered |= word[-1] == "*" and any(old.startswith(stem) and 5 * count < 6 * n for old, n in chosen.items())
-        if not covered and 10 * count >= best[0]["toxic"] and len(chosen) < most:
-            chosen[word] = count
-    return list(chosen)
+    found = counted.select("word", "toxic", "clean", "places").toPandas().sort_values("word")
+    odds = np.log((found["toxic"].to_numpy(float) + 0.5) / (found["clean"].to_numpy(float) + 0.5) * (clean / toxic))
+    return covering_words(found["word"].tolist(), [np.asarray(own, np.int64) for own in found["places"]], odds, most)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -217,9 +247,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     found = rows.select("label", "text").mapInArrow(fired, "label int, words double, fired array<double>").toPandas()
     size = len(lexicon) + len(_PATTERNS) + 1
-    found["key"] = [tuple(f) for f in found["fired"]]
+    found["key"] = [np.asarray(f, float).tobytes() for f in found["fired"]]
     found = found.sort_values(["key", "words", "label"])  # the order of tasks must not matter
-    counts = np.array(found["key"].tolist(), float).reshape(len(found), size)
+    counts = np.array([np.frombuffer(key) for key in found["key"]], float).reshape(len(found), size)
     words = found["words"].to_numpy(float)
     known = found["label"].to_numpy() == 1
     if not len(found):

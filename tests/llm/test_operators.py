@@ -253,6 +253,18 @@ def test_extraction_on_pages_of_other_seeds():
     assert wrong < 0.03 * total
 
 
+def test_words_of_a_small_language_are_mined(spark):
+    """One language has far more toxic texts, and many more telling words."""
+    rows = [(1, f"gromble{'abcdefgh'[i % 8]} snarfly fooey{i % 60} some talk") for i in range(160)]
+    rows += [(1, f"bocoox palabra{i} dicha") for i in range(7)] + [(0, f"plain talk dicha {i}") for i in range(900)]
+    labelled = spark.createDataFrame(rows, "label int, text string").repartition(3)
+    mined = toxicity.mined_words(labelled)
+    assert any("bocoox".startswith(word.rstrip("*")) for word in mined)
+    assert any("grombleabcdefgh".startswith(word.rstrip("*")) for word in mined)
+    assert not {"plain", "talk", "dicha", "plai*"} & set(mined) and mined == toxicity.mined_words(labelled.coalesce(1))
+    assert toxicity.mined_words(labelled, 1) == mined[:1]
+
+
 @pytest.mark.parametrize(
     "script",
     [
