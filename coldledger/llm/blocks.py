@@ -10,10 +10,14 @@ from dataclasses import dataclass
 # Fixed values of the markup language.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup svg math time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object".split())
+_RAW = frozenset("script style template".split())
+# Their content is in the line of text around them, whatever its tags, up to a tag that only pages have.
+_FOREIGN = frozenset("svg math".split())
+# Blocks of their own if they have text.
+_FALLBACK = frozenset("noscript object iframe".split())
 _CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -80,6 +84,10 @@ def _tokens(page: str) -> Iterator[re.Match[str]]:
                 break
 
 
+def _own_names(rest: str) -> frozenset[str]:
+    return frozenset(p for m in _NAMES.finditer(rest) for p in _NAME_PART.findall(m.group(1).lower()))
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of ``page`` in order. Character references are decoded, white space inside a block
     becomes one space, blocks without text are left out. Scripts, styles and comments have no text."""
@@ -87,23 +95,27 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     links: list[str] = []
-    skip = None
+    empty: list[int] = []  # places of open fallbacks without text so far
+    skipped = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                names = frozenset().union(*(own for _, own in stack))
+                above = stack[: empty[0]] if empty else stack
+                names = frozenset().union(*(own for _, own in above))
                 linked = " ".join(html.unescape("".join(links)).split())
-                tags = tuple(tag for tag, _ in stack if tag not in _INLINE)
+                tags = tuple(tag for tag, _ in above if tag not in _INLINE)
                 found.append(Block(text, tags, names, len(linked)))
             parts.clear()
             links.clear()
 
     def pop_to(place: int) -> None:
-        if any(tag not in _INLINE for tag, _ in stack[place:]):
+        if any(tag not in _INLINE and k not in empty for k, (tag, _) in enumerate(stack[place:], place)):
             flush()
         del stack[place:]
+        while empty and empty[-1] >= place:
+            empty.pop()
 
     def last(wanted: set[str] | frozenset[str], stop: set[str] | frozenset[str] = frozenset()) -> int | None:
         for place in range(len(stack) - 1, -1, -1):
@@ -116,15 +128,19 @@ def leaf_blocks(page: str) -> list[Block]:
     for token in _tokens(page):
         closing, name, rest = token.group(1), token.group(2), token.group(3)
         if name is None:
-            if skip is None and not token.group().startswith(("<!", "<?")):
+            if not skipped and not token.group().startswith(("<!", "<?")):
+                if empty and not token.group().isspace():
+                    flush()
+                    empty.clear()
                 parts.append(token.group())
                 if any(tag == "a" for tag, _ in stack):
                     links.append(token.group())
             continue
         tag = name.lower()
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
+        shut = rest.rstrip().endswith("/")
+        if skipped:
+            if tag == "template" and not shut:
+                skipped += -1 if closing else 1
             continue
         if closing:
             place = last({tag})
@@ -135,9 +151,22 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in _RAW:
-            if not rest.rstrip().endswith("/"):
-                skip = tag
+            if tag == "template" and not shut:
+                skipped = 1
+            continue
+        if tag in _FALLBACK or tag in _FOREIGN:
+            if not shut:
+                if tag in _FALLBACK:
+                    empty.append(len(stack))
+                stack.append((tag, _own_names(rest)))
             continue
+        place = last(_FOREIGN)
+        if place is not None:
+            if tag in _CLOSES_PARAGRAPH or tag in _SAME_LEVEL or tag == "body":
+                while (place := last(_FOREIGN)) is not None:
+                    pop_to(place)
+            elif tag not in _INLINE or shut:
+                continue
         if tag in _CLOSES_PARAGRAPH:
             place = last({"p"}, {"td", "th", "button", "li", "div", "article", "section", "body"})
             if place is not None:
@@ -153,7 +182,6 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag not in _INLINE:
             flush()
         if tag not in _VOID:
-            names = frozenset(p for m in _NAMES.finditer(rest) for p in _NAME_PART.findall(m.group(1).lower()))
-            stack.append((tag, names))
+            stack.append((tag, _own_names(rest)))
     flush()
     return found

@@ -284,6 +284,24 @@ def test_text_after_scripts_and_styles(script):
     assert [block.text for block in leaf_blocks(page)] == ["A", "Main text", "End"]
 
 
+@pytest.mark.parametrize(
+    "markup, texts",
+    [
+        ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is</p>", ["If x=1 is"]),
+        ("<p>A <svg><g><path d=''/></g><svg><text>T</text></svg></svg> B</p><p>C</p>", ["A T B", "C"]),
+        ("<p>A <svg><path/> B</p><p>C</p>", ["A B", "C"]),
+        ("<div>A <svg><g><div>B</div></div><p>C</p>", ["A", "B", "C"]),
+        ("<p>A <noscript><img src=x></noscript> B</p>", ["A B"]),
+        ("<p>A <noscript>F <b>G</b></noscript> B</p>", ["A", "F G", "B"]),
+        ("<div>A<object><p>F</p><object>G</object></object></div><p>C</p>", ["A", "F", "G", "C"]),
+        ("<div>A<iframe src=x>F</div><p>C</p>", ["A", "F", "C"]),
+        ("<p>A <template><template>T</template>U<script>'</template>'</script>V</template> B</p>", ["A B"]),
+    ],
+)
+def test_content_of_formulas_and_fallbacks(markup, texts):
+    assert [block.text for block in leaf_blocks(markup)] == texts
+
+
 def test_extraction_of_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, "u", "<p")], "page_id long, url string, html string")
