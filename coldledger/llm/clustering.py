@@ -22,8 +22,8 @@ SEED = 3
 _MOST = 2.0**31
 
 
-def _long_array(numbers: list[int]) -> Column:
-    return F.expr("array(" + ", ".join(f"{number}L" for number in numbers) + ")")
+def _long_array(numbers: list[int]) -> str:
+    return "array(" + ", ".join(f"{number}L" for number in numbers) + ")"
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -41,18 +41,17 @@ def _whole_numbers(vector: Column, scale: int) -> Column:
     return F.transform(vector, whole)
 
 
-def _distance(x: Column, centroid: list[int]) -> Column:
-    squares = F.zip_with(x, _long_array(centroid), lambda a, b: (a - b) * (a - b))
-    return F.aggregate(squares, F.lit(0).cast("long"), lambda total, square: total + square)
+def _distance(x: str, centroid: list[int]) -> str:
+    return f"aggregate(zip_with({x}, {_long_array(centroid)}, (a, b) -> (a - b) * (a - b)), 0L, (total, square) -> total + square)"
 
 
-def nearest(x: Column, centroids: list[list[int]]) -> Column:
-    """Struct of ``distance`` and ``cluster``: the nearest centroid, of equally near ones the first."""
+def nearest(x: str, centroids: list[list[int]]) -> Column:
+    """Struct of ``distance`` and ``cluster``: the centroid nearest to column ``x``, of equally near ones the first."""
     choices = [
-        F.struct(_distance(x, centroid).alias("distance"), F.lit(number).alias("cluster"))
+        f"named_struct('distance', {_distance(x, centroid)}, 'cluster', {number})"
         for number, centroid in enumerate(centroids)
     ]
-    return F.array_min(F.array(*choices))
+    return F.expr(f"array_min(array({', '.join(choices)}))")
 
 
 def _starts(vectors: DataFrame, clusters: int, seed: int) -> list[list[int]]:
@@ -64,8 +63,8 @@ def _starts(vectors: DataFrame, clusters: int, seed: int) -> list[list[int]]:
 
 def _moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """Floors of the means of the vectors nearest to each centroid; those without any stay."""
-    sums = [F.sum(F.col("x")[axis]).alias(f"sum_{axis}") for axis in range(len(centroids[0]))]
-    found = vectors.select(nearest(F.col("x"), centroids)["cluster"].alias("cluster"), "x")
+    sums = [F.expr(f"sum(x[{axis}]) AS sum_{axis}") for axis in range(len(centroids[0]))]
+    found = vectors.select(nearest("x", centroids)["cluster"].alias("cluster"), "x")
     moved = list(centroids)
     for row in found.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"), *sums).collect():
         moved[row.cluster] = [total // row["count"] for total in row[2:]]
@@ -108,7 +107,7 @@ def cluster_vectors(
         if centroids == before:
             break
     centroids = centroids or [[0] * size]  # for an empty result only
-    assigned = durable(vectors.select("kept_columns", nearest(F.col("x"), centroids).alias("nearest")))
+    assigned = durable(vectors.select("kept_columns", nearest("x", centroids).alias("nearest")))
     found = {
         row.cluster: row.inertia
         for row in assigned.groupBy("nearest.cluster").agg(F.sum("nearest.distance").alias("inertia")).collect()
@@ -119,9 +118,9 @@ def cluster_vectors(
         "kept_columns",
         cluster.alias("cluster"),
         F.col("nearest.distance").alias("distance"),
-        F.element_at(_long_array(inertias), cluster + 1).alias("cluster_inertia"),
+        F.element_at(F.expr(_long_array(inertias)), cluster + 1).alias("cluster_inertia"),
         F.lit(sum(inertias)).cast("long").alias("inertia"),
-        F.element_at(F.array(*map(_long_array, centroids)), cluster + 1).alias("centroid"),
+        F.element_at(F.expr(f"array({', '.join(map(_long_array, centroids))})"), cluster + 1).alias("centroid"),
     )
 
 

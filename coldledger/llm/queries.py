@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, extraction, mixing, near_dedup, quality, token_store, toxicity, warc
+from . import (
+    bpe,
+    clustering,
+    decontamination,
+    embedding_dedup,
+    exact_dedup,
+    extraction,
+    mixing,
+    near_dedup,
+    quality,
+    token_store,
+    toxicity,
+    warc,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +65,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie inside passages of the benchmark."""
+    return decontamination.contamination_report(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each usable vector after ten rounds."""
+    return clustering.clustering_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened coordinates of each usable vector."""
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -62,4 +93,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_decontamination": op11_decontamination,
+    "op12_clustering": op12_clustering,
+    "op13_whitening": op13_whitening,
 }
