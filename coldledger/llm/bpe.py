@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable, ship_package
-from .arrays import byte_view, slices, texts_of
+from .arrays import batchwise, byte_view, slices, texts_of
 from .chunking import chunk_ends
 from .vocabularies import Encoder, encoder, public_path, ship_tokenizer
 
@@ -76,7 +76,7 @@ def shared_filter(shared: DataFrame, most_bits: int = MOST_FILTER_BITS) -> np.nd
     while bits < wanted:
         bits *= 2
     words = (
-        shared.mapInArrow(lambda batches: _filter_words(batches, bits), "place bigint, word bigint")
+        shared.transform(batchwise, lambda batches: _filter_words(batches, bits), "place bigint, word bigint")
         .groupBy("place")
         .agg(F.bit_or("word").alias("word"))
         .toPandas()
@@ -317,11 +317,12 @@ def encode_documents(
         F.struct(F.lit(0).alias("_"), *others).alias("kept_columns"),
     )
     kept_type = source.schema["kept_columns"].dataType.simpleString()
-    digests = source.select("text").mapInArrow(lambda batches: _all_digests(batches, chunk_bits), "digest binary")
+    digests = source.select("text").transform(batchwise, lambda batches: _all_digests(batches, chunk_bits), "digest binary")
     shared = durable(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("digest"))
     held = spark.sparkContext.broadcast(shared_filter(shared, most_filter_bits).tobytes())
     found = durable(
-        source.mapInArrow(
+        source.transform(
+            batchwise,
             lambda batches: _first_pass(batches, shipped, held, chunk_bits, with_ids), _SPARK_TYPES + kept_type
         )
     )
@@ -331,7 +332,7 @@ def encode_documents(
         found.where("row IS NULL")
         .select("digest", "text")
         .dropDuplicates(["digest"])
-        .mapInArrow(lambda batches: _encode_chunks(batches, shipped), "digest binary, chunk_ids binary")
+        .transform(batchwise, lambda batches: _encode_chunks(batches, shipped), "digest binary, chunk_ids binary")
     )
     # The planner cannot see how long the ids are, so it must not broadcast them.
     references = (
@@ -345,7 +346,8 @@ def encode_documents(
         own.unionByName(references)
         .repartition("row")
         .sortWithinPartitions("row", "piece")
-        .mapInArrow(
+        .transform(
+            batchwise,
             lambda batches: _assembled(batches, shipped, with_ids),
             f"row bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary, kept_columns {kept_type}",
         )
@@ -381,4 +383,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     ship_package(spark)
     shipped = ship_tokenizer(spark, tokenizer or public_path("byte_bpe_50k.json"))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(lambda batches: _decoded(batches, shipped), schema)
+    return encoded.transform(batchwise, lambda batches: _decoded(batches, shipped), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators.skew import with_positions
 from ..session import durable, ship_package
-from .arrays import byte_view
+from .arrays import batchwise, byte_view
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -74,7 +74,7 @@ def principal_axes(vectors: DataFrame, dtype: str, size: int) -> np.ndarray:
     """Axes (columns) in order of falling share of the vectors' energy; size * size sums reach the driver."""
     sums = (
         vectors.select("vector")
-        .mapInArrow(lambda batches: _moments(batches, dtype, size), "i bigint, j bigint, moment double")
+        .transform(batchwise, lambda batches: _moments(batches, dtype, size), "i bigint, j bigint, moment double")
         .groupBy("i", "j")
         .agg(F.sum("moment").alias("moment"))
         .toPandas()
@@ -286,7 +286,8 @@ def _links_of_size(classes: DataFrame, count: int, dtype: str, size: int, least:
         strips_wanted += 1
     strip_rows = max(1, min(STRIP_BYTES // (8 * size), -(-count // strips_wanted)))
     axes = principal_axes(classes, dtype, size)
-    led = classes.mapInArrow(
+    led = classes.transform(
+        batchwise,
         lambda batches: _leads(batches, dtype, axes), "id bigint, copies bigint, vector binary, lead double"
     )
     placed = durable(
@@ -298,20 +299,21 @@ def _links_of_size(classes: DataFrame, count: int, dtype: str, size: int, least:
     # A few numbers a strip reach the driver.
     ranges = (
         placed.select("strip", "vector")
-        .mapInArrow(lambda batches: _boxes(batches, dtype, axes), "strip bigint, axis bigint, low double, high double")
+        .transform(batchwise, lambda batches: _boxes(batches, dtype, axes), "strip bigint, axis bigint, low double, high double")
         .groupBy("strip", "axis")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .toPandas()
     )
     boxes = np.zeros((count_strips, min(BOX_AXES, size) + 1, 2))
     boxes[ranges["strip"].to_numpy(np.int64), ranges["axis"].to_numpy(np.int64)] = ranges[["low", "high"]].to_numpy()
-    dealt = placed.mapInArrow(
+    dealt = placed.transform(
+        batchwise,
         lambda batches: _dealt(batches, boxes, least), "pair bigint, side int, id bigint, copies bigint, vector binary"
     )
     return (
         dealt.repartition(max(1, count_strips * (count_strips + 1) // 2), "pair")
         .sortWithinPartitions("pair", "side")
-        .mapInArrow(lambda batches: _pairs(batches, dtype, axes, least), "u bigint, v bigint, links bigint")
+        .transform(batchwise, lambda batches: _pairs(batches, dtype, axes, least), "u bigint, v bigint, links bigint")
     )
 
 
@@ -331,7 +333,7 @@ def near_duplicates(
         F.col(f"`{vec_id}`").cast("long").alias("id"),
         F.col(f"`{vector}`").cast("array<float>" if dtype == "<f4" else "array<double>").alias("vector"),
     )
-    packed = durable(source.mapInArrow(lambda batches: _packed(batches, dtype), "id bigint, vector binary"))
+    packed = durable(source.transform(batchwise, lambda batches: _packed(batches, dtype), "id bigint, vector binary"))
     classes = durable(
         packed.where("vector IS NOT NULL AND id IS NOT NULL")
         .groupBy("vector")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
-from .arrays import byte_view, free_name, slices
+from .arrays import batchwise, byte_view, free_name, slices
 from .chunking import chunk_ends
 
 #: Bytes of an identifier at first.
@@ -91,7 +91,8 @@ def verified_recipes(
     kept_type = source.schema["kept_columns"].dataType.simpleString()
     while True:
         size = digest_bytes
-        chunks = source.select("text").mapInArrow(
+        chunks = source.select("text").transform(
+            batchwise,
             lambda batches: _chunks(batches, size, chunk_bits), "digest binary, chunk binary"
         )
         clashes = (
@@ -103,7 +104,8 @@ def verified_recipes(
             raise ValueError("chunks differ that have equal identifiers of the greatest length")
         digest_bytes *= 2
     return durable(
-        source.mapInArrow(
+        source.transform(
+            batchwise,
             lambda batches: _recipes(batches, size, chunk_bits),
             f"row bigint, recipe binary, text_sha256 string, kept_columns {kept_type}",
         )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .arrays import slices, texts_of
+from .arrays import batchwise, slices, texts_of
 from .blocks import Block, leaf_blocks
 from .training_pages import labelled_pages
 
@@ -188,6 +188,7 @@ def extract_text(
         F.col(f"`{url}`").cast("string").alias("url"),
         F.col(f"`{html}`").cast("string").alias("html"),
     )
-    return plain.mapInArrow(
+    return plain.transform(
+        batchwise,
         lambda batches: _extracted(batches, used), "page_id bigint, url string, text string, n_chars bigint"
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
-from .arrays import free_name, slices
+from .arrays import batchwise, free_name, slices
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -368,4 +368,4 @@ def mix_documents(
     )
     # The planner cannot see how many there are, so it must not broadcast them.
     joined = numbered.join(taken.hint("merge"), number).drop(number)
-    return joined.mapInArrow(lambda batches: _taken_texts(batches, text, size, spans), docs.schema)
+    return joined.transform(batchwise, lambda batches: _taken_texts(batches, text, size, spans), docs.schema)

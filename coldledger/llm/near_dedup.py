@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
-from .arrays import byte_view, free_name, slices
+from .arrays import batchwise, byte_view, free_name, slices
 from .components import connected_components
 from .embedding_dedup import forest
 from .shingles import fingerprint, intersection_size, mixed, shingle_sets
@@ -114,7 +114,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, least_percent: int
     text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge")
     joined = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
     return durable(
-        joined.mapInArrow(
+        joined.transform(
+            batchwise,
             lambda batches: _confirmed(batches, words, least_percent), "a bigint, b bigint, linked boolean"
         )
     )
@@ -295,7 +296,7 @@ def _family_links(placed: DataFrame, texts: DataFrame, words: int, least_percent
     return durable(
         dealt.repartition("family", "first", "second")
         .sortWithinPartitions("family", "first", "second", "side")
-        .mapInArrow(lambda batches: _compared_tiles(batches, words, least_percent), "a bigint, b bigint")
+        .transform(batchwise, lambda batches: _compared_tiles(batches, words, least_percent), "a bigint, b bigint")
         .withColumn("linked", F.lit(True))
     )
 
@@ -322,7 +323,8 @@ def near_groups(
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
     signed = durable(
-        source.mapInArrow(
+        source.transform(
+            batchwise,
             lambda batches: _signed(batches, words, sketches, sketch_hashes),
             "doc_id bigint, n_shingles bigint, mark binary, left array<bigint>, right array<bigint>",
         )
@@ -343,7 +345,7 @@ def near_groups(
     texts = durable(
         source.join(wanted, source["doc_id"] == wanted["id"])
         .select("id", "mark", "text")
-        .mapInArrow(lambda batches: _with_mark(batches, words), "id bigint, mark binary, text string")
+        .transform(batchwise, lambda batches: _with_mark(batches, words), "id bigint, mark binary, text string")
         .select("id", "text")
         .dropDuplicates(["id"])
     )

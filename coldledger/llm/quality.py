@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .arrays import byte_view, free_name, slices
+from .arrays import batchwise, byte_view, free_name, slices
 from .labelled import logistic, remainder, training_rows
 from .shingles import mixed, word_hashes
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ship_package(docs.sparkSession)
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = training_rows(plain, labels, "quality", TRAINING_ROWS, DIVISOR, HELD_OUT)
-    found = rows.select("label", "text").mapInArrow(_with_features, "label int, x array<double>").toArrow()
+    found = rows.select("label", "text").transform(batchwise, _with_features, "label int, x array<double>").toArrow()
     if not found.num_rows:
         return fit_pairs(np.zeros((0, 1)), np.zeros(0, bool))
     label = found["label"].to_numpy()
@@ -181,7 +181,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", score
     """``docs`` and the score of each text, from 0 to 1; a null text is empty, and empty texts are scored too."""
     ship_package(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(lambda batches: _scored(batches, model, text, score), schema)
+    return docs.transform(batchwise, lambda batches: _scored(batches, model, text, score), schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

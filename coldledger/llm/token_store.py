@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, new_folder, ship_package
-from .arrays import byte_view, slices, texts_of
+from .arrays import batchwise, byte_view, slices, texts_of
 from .stores import new_file, opened, spread_by_place
 from .vocabularies import encoder, public_path, ship_tokenizer
 
@@ -175,7 +175,8 @@ def tokenized(docs: DataFrame, shipped: Broadcast, doc_id: str = "doc_id", text:
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    encoded = ordered.mapInArrow(
+    encoded = ordered.transform(
+        batchwise,
         lambda batches: _tokenized(batches, shipped), "doc_id bigint, ids binary, n_tokens bigint, before bigint"
     )
     return durable(encoded.withColumn("part", F.spark_partition_id()))
@@ -192,7 +193,7 @@ def _counted(batches: Iterator[pa.RecordBatch], dtype: str, size: int) -> Iterat
 
 def global_counts(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     """Count of each id over all documents; one row per id reaches the driver, ``size`` at most."""
-    counted = tokens.select("ids").mapInArrow(lambda batches: _counted(batches, dtype, size), "id bigint, count bigint")
+    counted = tokens.select("ids").transform(batchwise, lambda batches: _counted(batches, dtype, size), "id bigint, count bigint")
     found = counted.groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
@@ -294,7 +295,8 @@ def write_tokens(
         .agg(F.sum("n_tokens").alias("part_tokens"))
         .select("part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("base"))
     )
-    blocks = tokens.select("part", "doc_id", "ids", "before").mapInArrow(
+    blocks = tokens.select("part", "doc_id", "ids", "before").transform(
+        batchwise,
         lambda batches: _written(batches, folder, book, dtype, block_ids, file_bytes),
         "part int, first bigint, file string, offset bigint, length bigint",
     )
@@ -333,7 +335,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Ite
 def read_tokens(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (and the ids) of the documents in the blocks of ``index``."""
     ship_package(index.sparkSession)
-    return spread_by_place(index).select("file", "offset", "length", "start").mapInArrow(
+    return spread_by_place(index).select("file", "offset", "length", "start").transform(
+        batchwise,
         lambda batches: _read(batches, folder, with_ids),
         "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids,
     )

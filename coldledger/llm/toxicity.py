@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .arrays import slices, texts_of
+from .arrays import batchwise, slices, texts_of
 from .labelled import logistic, remainder, training_rows
 
 #: Labelled documents to learn from, at most, and mined words, at most.
@@ -210,7 +210,7 @@ def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
         return []
     counted = (
         rows.select("label", "text", F.monotonically_increasing_id().alias("place"))
-        .mapInArrow(_word_rows, "word string, label int, place bigint")
+        .transform(batchwise, _word_rows, "word string, label int, place bigint")
         .groupBy("word")
         .agg(
             F.sum("label").alias("toxic"),
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                     ["label", "words", "fired"],
                 )
 
-    found = rows.select("label", "text").mapInArrow(fired, "label int, words double, fired array<double>").toPandas()
+    found = rows.select("label", "text").transform(batchwise, fired, "label int, words double, fired array<double>").toPandas()
     size = len(lexicon) + len(_PATTERNS) + 1
     found["key"] = [np.asarray(f, float).tobytes() for f in found["fired"]]
     found = found.sort_values(["key", "words", "label"])  # the order of tasks must not matter
@@ -280,7 +280,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     )
     model = train(plain, labels)
-    scored = plain.mapInArrow(lambda batches: _scored(batches, model), "doc_id bigint, score double")
+    scored = plain.transform(batchwise, lambda batches: _scored(batches, model), "doc_id bigint, score double")
     return scored.select(
         "doc_id",
         F.coalesce(remainder("doc_id", DIVISOR) == HELD_OUT, F.lit(False)).alias("held_out"),

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -15,9 +16,11 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: A worker remembers so many pieces at most, none longer than LONGEST_PIECE.
-MOST_PIECES = 400_000
+#: A worker remembers pieces, none longer than LONGEST_PIECE, of about so many bytes at most, their objects included.
+KNOWN_BYTES = 24 << 20
 LONGEST_PIECE = 48
+# Pieces that the library gets at once: what it returns for each is some kilobytes.
+_AT_ONCE = 1024
 _BLANK = r" \t\n\r\x0b\x0c"
 _PIECE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 # Other characters that some definition of white space has: such texts are encoded whole.
@@ -171,6 +174,7 @@ class Encoder:
         self._special_texts = [t["content"] for t in added]
         self._latin = _LatinBpe.of(parsed, self.dtype) if self.cuts else None
         self._known: dict[str, bytes] = {}
+        self._known_bytes = 0
 
     def _simple(self, text: str) -> bool:
         return (
@@ -180,8 +184,9 @@ class Encoder:
         )
 
     def _fresh(self, texts: Sequence[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False):
-            yield np.array(found.ids, self.dtype).tobytes()
+        for start in range(0, len(texts), _AT_ONCE):
+            for found in self.tokenizer.encode_batch_fast(list(texts[start : start + _AT_ONCE]), add_special_tokens=False):
+                yield np.array(found.ids, self.dtype).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if not self.cuts or _ODD_BLANK.search(text):
@@ -195,14 +200,18 @@ class Encoder:
         return [self._latin.encode(text) if latin else next(others) for text, latin in zip(texts, simple)]
 
     def _by_pieces(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self._known) > MOST_PIECES:
-            self._known.clear()
+        if self._known_bytes > KNOWN_BYTES:
+            self._known, self._known_bytes = {}, 0
         known = self._known
         pieces = [self._pieces(text) for text in texts]
         missing = list(set(chain.from_iterable(pieces)).difference(known))
         extra: dict[str, bytes] = {}
         for piece, ids in zip(missing, self._fresh(missing)) if missing else ():
-            (known if len(piece) <= LONGEST_PIECE else extra)[piece] = ids
+            if len(piece) <= LONGEST_PIECE and self._known_bytes <= KNOWN_BYTES:
+                known[piece] = ids
+                self._known_bytes += sys.getsizeof(piece) + sys.getsizeof(ids) + 100
+            else:
+                extra[piece] = ids
         return [b"".join(known[p] if p in known else extra[p] for p in found) for found in pieces]
 
     def byte_table(self) -> list[bytes]:

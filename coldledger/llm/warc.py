@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, new_folder, ship_package
-from .arrays import slices
+from .arrays import batchwise, slices
 from .stores import new_file, opened, spread_by_place
 
 #: Payloads below this size are never replaced by a revisit record.
@@ -185,7 +185,7 @@ def write_warc(typed: DataFrame, folder: str, date: str = RECORD_DATE, archive_b
     An empty table gives no archive and an empty index.
     """
     ship_package(typed.sparkSession)
-    return durable(typed.mapInArrow(lambda batches: _write(batches, folder, date, archive_bytes), _INDEX))
+    return durable(typed.transform(batchwise, lambda batches: _write(batches, folder, date, archive_bytes), _INDEX))
 
 
 def _parsed(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -278,7 +278,8 @@ def read_warc(
     ship_package(index.sparkSession)
     placed = spread_by_place(index.select("file", "offset", "length", "url", "payload_digest"))
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
-    return placed.mapInArrow(
+    return placed.transform(
+        batchwise,
         lambda batches: _read(batches, folder, with_payload, gap_bytes, read_bytes),
         schema + ", payload binary" * with_payload,
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable, ship_package
+from .arrays import batchwise
 from .jacobi_davidson import largest_eigenpairs
 
 COMPONENTS = 16
@@ -80,7 +81,8 @@ def _partial_sums(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 
 def _centre(fitted: DataFrame, size: int) -> _Centre:
-    parts = fitted.mapInArrow(
+    parts = fitted.transform(
+        batchwise,
         lambda batches: _partial_sums(batches, size), "axis bigint, rows bigint, high bigint, low bigint"
     )
     wide = [F.sum(F.col(name).cast("decimal(20,0)")).alias(name) for name in ("rows", "high", "low")]
@@ -98,7 +100,7 @@ def _summed(fitted: DataFrame, partial: Callable[[np.ndarray], np.ndarray], cent
                 total += partial(centre.centred(batch.column("x")))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
 
-    found = fitted.mapInArrow(sums, _SUMS).groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    found = fitted.transform(batchwise, sums, _SUMS).groupBy("place").agg(F.sum("value").alias("value")).toPandas()
     total = np.zeros(int(np.prod(shape)))
     total[found["place"].to_numpy(np.int64)] = found["value"].to_numpy(np.float64)
     return total.reshape(shape)
@@ -159,7 +161,7 @@ def _of_one_size(rows: DataFrame, size: int, components: int) -> DataFrame:
         error = float(np.abs(covariance - np.eye(defined)).max())
     share = [float(max(value, 0.0) / spread) if spread > 0 else None for value in values]
     schema = T.StructType([*rows.schema.fields, T.StructField("whitened", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(lambda batches: _whitened(batches, centre, scaled, defined), schema).select(
+    return rows.transform(batchwise, lambda batches: _whitened(batches, centre, scaled, defined), schema).select(
         "kept_columns",
         F.lit(centre.count).cast("long").alias("n"),
         _deviation(F.col("x"), centre).alias("deviation"),
