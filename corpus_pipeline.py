@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from coldledger.llm.arrays import free_name
 from coldledger.session import Staging, delete_folder, new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -70,10 +71,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_staged
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their hash and that of the text they decode to."""
+    """Token ids of each text, with their hash and that of the text they decode to.
+
+    Where ``docs`` has a column of such a name, the added one's has underscores at its end.
+    """
     found = bpe.encode_documents(docs)
     others = [F.col(f"kept_columns.`{name}`").alias(name) for name in docs.columns if name != "text"]
-    return found.select(*others, "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    added = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    return found.select(*others, *[F.col(name).alias(free_name(docs, name)) for name in added])
 
 
 STAGES = [
