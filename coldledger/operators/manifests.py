@@ -13,7 +13,7 @@ from ..functions import fixed_values as fv
 from ..functions.text import capitalise
 from ..functions.paths import strip_root
 from ..session import durable
-from .skew import semi_join_spread, with_positions
+from .skew import dealt, join_spread, semi_join_spread, sort_with_copies, with_positions
 
 # Copies of one record are numbered in chunks of this many.
 _CHUNK = 65_536
@@ -22,6 +22,8 @@ _CHUNK = 65_536
 _PREFIX_CHARS = 4
 # Positions of an archive handled as one group when links look for targets.
 _SEQ_SPAN = 65_536
+# Hashes that two numbers can hold.
+_USUAL_HASH = "^[0-9a-f]{32}$"
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -42,26 +44,49 @@ def _status() -> Column:
     )
 
 
+def _half(start: int) -> Column:
+    """Sixteen digits of a hash as a number, from digit ``start`` on."""
+    return F.conv(F.substring("hash", start, 16), 16, -10).cast("bigint")
+
+
+def _unpacked(high: Column, low: Column) -> Column:
+    digits = [F.lpad(F.lower(F.hex(half)), 16, "0") for half in (high, low)]
+    return F.concat(*digits)
+
+
 def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pair two manifests by name: match, differ, only_left or only_right.
 
-    Copies of a name pair up in hash order, first with first and so on. One
+    Copies of a name pair up in hash order, first with first and so on. One hash
     aggregate by name (combined map-side, so a hot name is small) settles every
-    name that occurs at most once per side. Only the other names are numbered;
-    the inputs are read again for those, so pass ``durable`` or stored ones.
+    name that occurs at most once per side: a hash of 32 lower-case hexadecimal
+    digits is held as two numbers, which an aggregate can keep in place where it
+    would have to sort for texts. Names that are repeated or have another kind of
+    hash are numbered; the inputs are read again for those, so pass ``durable``
+    or stored ones.
     """
     rows = _both(left, right)
+    usual = F.col("hash").rlike(_USUAL_HASH)
+    halves = {"high": F.when(usual, _half(1)), "low": F.when(usual, _half(17))}
     names = durable(
-        rows.groupBy("filename").agg(
+        rows.withColumns({"odd": F.when(usual, 0).otherwise(1), **halves})
+        .groupBy("filename")
+        .agg(
             F.sum("n_left").alias("n_left"),
             F.sum("n_right").alias("n_right"),
-            F.min(F.when(F.col("n_left") > 0, F.col("hash"))).alias("left_hash"),
-            F.min(F.when(F.col("n_right") > 0, F.col("hash"))).alias("right_hash"),
+            F.max("odd").alias("odd"),
+            *[
+                F.max(F.when(F.col(f"n_{side}") > 0, F.col(half))).alias(f"{side}_{half}")
+                for side in ("left", "right")
+                for half in halves
+            ],
         )
     )
-    repeated = (F.col("n_left") > 1) | (F.col("n_right") > 1)
-    pairs = names.where(~repeated).select("filename", F.lit(1).cast("bigint").alias("copy"), "left_hash", "right_hash")
-    again = names.where(repeated).select("filename", (F.col("n_left") + F.col("n_right")).alias("rows"))
+    settled = (F.col("n_left") <= 1) & (F.col("n_right") <= 1) & (F.col("odd") == 0)
+    hashes = [_unpacked(F.col(f"{side}_high"), F.col(f"{side}_low")).alias(f"{side}_hash") for side in ("left", "right")]
+    pairs = names.where(settled).select("filename", F.lit(1).cast("bigint").alias("copy"), *hashes)
+    # Staged, so that the planner knows how few they are.
+    again = durable(names.where(~settled).select("filename", (F.col("n_left") + F.col("n_right")).alias("rows")))
     # Spread by row: a hot name's records may all have one hash.
     spread = semi_join_spread(rows.withColumn("_row", F.monotonically_increasing_id()), again, ["filename"], "_row")
     pairs = pairs.unionByName(_pair_copies(spread.drop("_row")))
@@ -116,12 +141,12 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
     is_left = F.col("_is_left")
     # Chunks are spread before their rows are written out: one record may have a
     # large share of all copies.
-    return (
-        chunks.repartition("filename", "hash", "_is_left", "_chunk")
-        .select("filename", "hash", "_is_left", F.explode(copies).alias("copy"))
-        .groupBy("filename", "copy")
-        .agg(F.max(F.when(is_left, F.col("hash"))).alias("left_hash"), F.max(F.when(~is_left, F.col("hash"))).alias("right_hash"))
-    )
+    spread = durable(dealt(chunks, "filename", "hash", "_is_left", "_chunk"))
+
+    def numbered(mine: Column, name: str) -> DataFrame:
+        return spread.where(mine).select("filename", F.explode(copies).alias("copy"), F.col("hash").alias(name))
+
+    return numbered(is_left, "left_hash").join(numbered(~is_left, "right_hash"), ["filename", "copy"], "full")
 
 
 def difference_message(left_name: str, right_name: str) -> Column:
@@ -192,8 +217,8 @@ def difference_report(compared: DataFrame, left_name: str, right_name: str) -> D
 
 
 def sort_manifest(manifest: DataFrame) -> DataFrame:
-    """Number a manifest byte-wise by name, equal names by hash."""
-    return with_positions(manifest.select("filename", "hash"), [F.col("filename").asc(), F.col("hash").asc()])
+    """Number a manifest byte-wise by name, equal names by hash; any number of records may be equal."""
+    return sort_with_copies(manifest.select("filename", "hash"), [F.col("filename").asc(), F.col("hash").asc()])
 
 
 def manifest_size(files: DataFrame) -> DataFrame:
@@ -211,10 +236,11 @@ def resolve_hard_links(members: DataFrame) -> DataFrame:
     link takes the hash of the latest file of that name before it; without one,
     or when it points at another link only, it stays unresolved (null hash).
 
-    An archive or a target may hold any share of the members, so a target's
-    rows are split by ranges of ``seq``. Each range carries in the last hash of
-    the ranges before it. ``members`` is read for files and for links: pass a
-    ``durable`` or stored one.
+    One hash aggregate by name finds where each name's file is, its hash held as
+    two numbers, and how many links it has, so that a name with any share of them
+    is split. Only names with several files, or with hashes of another kind, are
+    filled forward by windows. ``members`` is read for files and for links: pass
+    a ``durable`` or stored one.
     """
     plain = members.where(F.col("type").isin("file", "link")).select(
         "archive", "seq", "type", "hash", strip_root(F.col("name")).alias("filename"), strip_root(F.col("linkname")).alias("target")
@@ -222,30 +248,63 @@ def resolve_hard_links(members: DataFrame) -> DataFrame:
     files = plain.where(F.col("type") == "file")
     links = plain.where(F.col("type") == "link")
     is_link = F.col("type") == "link"
-    span = F.floor(F.col("seq") / _SEQ_SPAN)
-    steps = files.unionByName(links).select(
-        "archive",
-        F.when(is_link, F.col("target")).otherwise(F.col("filename")).alias("_key"),
-        span.alias("_span"),
-        "seq",
-        F.when(~is_link, F.col("hash")).alias("_file_hash"),
-        F.when(is_link, F.col("filename")).alias("filename"),
+    steps = plain.withColumn("_key", F.when(is_link, F.col("target")).otherwise(F.col("filename")))
+    usual = F.col("hash").rlike(_USUAL_HASH)
+    own = lambda value: F.max(F.when(~is_link, value))
+    names = durable(
+        steps.groupBy("archive", "_key")
+        .agg(
+            F.count_if(is_link).alias("rows"),
+            F.count_if(~is_link).alias("_files"),
+            own(F.col("seq")).alias("_file_seq"),
+            own(F.when(usual, 0).otherwise(1)).alias("_odd"),
+            own(F.when(usual, _half(1))).alias("_high"),
+            own(F.when(usual, _half(17))).alias("_low"),
+        )
+        .where((F.col("rows") > 0) & (F.col("_files") > 0))
+    )
+    group = ["archive", "_key"]
+    several = (F.col("_files") > 1) | (F.col("_odd") > 0)
+    targets = names.select(
+        *group, "_file_seq", _unpacked(F.col("_high"), F.col("_low")).alias("_file_hash"), several.alias("_several")
+    )
+    sought = links.select("archive", "seq", "filename", F.col("target").alias("_key"))
+    joined = join_spread(sought, targets, group, names.select(*group, "rows"), "seq")
+    simple = joined.where(~F.coalesce("_several", F.lit(False)))
+    known = F.when(F.col("_file_seq") < F.col("seq"), F.col("_file_hash"))
+    versions = durable(names.where(several).select(*group, (F.col("rows") + F.col("_files")).alias("rows")))
+    again = semi_join_spread(steps, versions, group, "seq")
+    result = ["archive", "seq", "filename", "type", "hash"]
+    return (
+        files.select(*result)
+        .unionByName(simple.select("archive", "seq", "filename", F.lit("link").alias("type"), known.alias("hash")))
+        .unionByName(_filled_forward(again).select(*result))
+    )
+
+
+def _filled_forward(steps: DataFrame) -> DataFrame:
+    """The links of ``steps`` with the hash of the last file of their ``_key`` before them.
+
+    A name's rows are split by ranges of ``seq``; each range carries in the last
+    hash of the ranges before it.
+    """
+    spans = steps.withColumn("_span", F.floor(F.col("seq") / _SEQ_SPAN)).withColumn(
+        "_file_hash", F.when(F.col("type") == "file", F.col("hash"))
     )
     group = ["archive", "_key", "_span"]
     so_far = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("archive", "_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        steps.groupBy(*group)
+        spans.groupBy(*group)
         .agg(F.max_by("_file_hash", F.when(F.col("_file_hash").isNotNull(), F.col("seq"))).alias("_last"))
         .select(*group, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     )
-    resolved = (
-        steps.withColumn("_local", F.last("_file_hash", ignorenulls=True).over(so_far))
-        .where(F.col("filename").isNotNull())
+    return (
+        spans.withColumn("_local", F.last("_file_hash", ignorenulls=True).over(so_far))
+        .where(F.col("type") == "link")
         .join(carried, group, "left")
-        .select("archive", "seq", "filename", F.lit("link").alias("type"), F.coalesce("_local", "_carried").alias("hash"))
+        .select("archive", "seq", "filename", "type", F.coalesce("_local", "_carried").alias("hash"))
     )
-    return files.select("archive", "seq", "filename", "type", "hash").unionByName(resolved)
 
 
 def require_resolved(resolved: DataFrame) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import with_fixed_partitions
+from ..session import durable, ship_package
 
 # A key is split when it holds more than 1/HOT_SHARE of all rows, so there can be
 # at most HOT_SHARE such keys: that bounds what is broadcast here.
 HOT_SHARE = 1000
 # Rows of one part of a split key, at most.
 PART_ROWS = 1_000_000
+# Copies of a row that are written in one piece.
+COPIES = 4096
 _ROW_BITS = 33
 
 
@@ -77,21 +82,69 @@ def with_rows(wanted: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataF
 def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Sort ``df`` globally and number its rows from 1.
 
-    The sorted rows are checkpointed, which fixes the partitions. A row's
-    number is its place within its partition plus the sizes of the partitions
-    before it; only those sizes (one row per partition) meet in one task.
+    The sorted rows are staged together with the number of their partition and their place in it. A
+    row's number is that place plus the sizes of the partitions before; only those sizes (one row
+    per partition) meet in one task.
     """
-    ranked = with_fixed_partitions(df.orderBy(*order)).select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_offset"),
-    )
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)) + 1
+    ranked = durable(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_end")))
+    return _after_bases(ranked).select((F.col("_base") + F.col("_end")).alias(name), *df.columns)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by a hash of ``keys`` to as many tasks as shuffles have.
+
+    For rows that are few now and written out to many next: their size says nothing, so adaptive
+    execution must not bring them together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _after_bases(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``_base``, the sum of the greatest ``_end`` of all partitions before a row's own."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         ranked.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+        .agg(F.max("_end").alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     )
-    return ranked.join(F.broadcast(bases), "_part").select(
-        (F.col("_base") + F.col("_offset") + 1).alias(name), *df.columns
+    return ranked.join(F.broadcast(bases), "_part")
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a partition with the sum of ``_copies`` up to and with it."""
+    total = 0
+    for batch in batches:
+        ends = total + np.cumsum(batch.column("_copies").to_numpy())
+        total = int(ends[-1]) if len(ends) else total
+        yield batch.append_column("_end", pa.array(ends, pa.int64()))
+
+
+def sort_with_copies(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Sort ``df`` globally by ``order``, which covers all its columns, and number its rows from 1.
+
+    Equal rows are counted first, so only different ones are sorted, and each takes as many numbers
+    as it has copies. Up to COPIES copies are written where the row was sorted to; more are dealt to
+    all tasks in pieces of that size.
+    """
+    columns = df.columns
+    runs = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    sorted_runs = runs.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    ship_package(df.sparkSession)
+    schema = T.StructType([*sorted_runs.schema.fields, T.StructField("_end", T.LongType())])
+    placed = _after_bases(durable(sorted_runs.mapInArrow(_running, schema)))
+    numbered = placed.select(*columns, "_copies", (F.col("_base") + F.col("_end") - F.col("_copies")).alias("_start"))
+    few = numbered.where(F.col("_copies") <= COPIES).select(*columns, "_start", "_copies")
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(COPIES).cast("bigint")))
+    many = (
+        numbered.where(F.col("_copies") > COPIES)
+        .withColumn("_first", first)
+        .select(
+            *columns,
+            (F.col("_start") + F.col("_first")).alias("_start"),
+            F.least(F.col("_copies") - F.col("_first"), F.lit(COPIES).cast("bigint")).alias("_copies"),
+        )
+        .transform(dealt, "_start")
     )
+    numbers = F.explode(F.sequence(F.col("_start") + 1, F.col("_start") + F.col("_copies")))
+    return few.unionByName(many).select(numbers.alias(name), *columns)

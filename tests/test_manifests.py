@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from coldledger.operators import manifests
 
@@ -190,3 +191,49 @@ def test_unresolved_link_fails(spark):
 def test_empty_size(spark):
     empty = spark.createDataFrame([], "size bigint")
     assert tuple(manifests.manifest_size(empty).first()) == (0, 0)
+
+
+def _paired(left, right):
+    """Copies of each name in hash order, first with first."""
+    found = []
+    for name in {n for n, _ in left} | {n for n, _ in right}:
+        sides = [sorted(h for n, h in rows if n == name) for rows in (left, right)]
+        for copy in range(max(map(len, sides))):
+            hashes = [side[copy] if copy < len(side) else None for side in sides]
+            found.append((name, copy + 1, *hashes))
+    return sorted(found)
+
+
+def test_comparison_of_random_manifests_with_odd_hashes(spark):
+    rng = random.Random(11)
+    hashes = ["%032x" % rng.getrandbits(128) for _ in range(6)] + ["0" * 32, "f" * 32, "8" + "0" * 31, "", "A" * 32, "short", "0" * 33]
+
+    def side():
+        names = [b"n%d" % rng.randrange(60) for _ in range(70)] + [b"hot"] * 40
+        return [(name, rng.choice(hashes)) for name in names]
+
+    left, right = side(), side()
+    schema = "filename binary, hash string"
+    compared = manifests.compare_manifests(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    rows = sorted((bytes(r.filename), r.copy, r.left_hash, r.right_hash) for r in compared.collect())
+    assert rows == sorted(_paired(left, right), key=lambda r: r[:2])
+
+
+def test_many_equal_records_are_numbered_by_all_tasks(spark):
+    equal = spark.range(200_000).select(F.lit(b"same").alias("filename"), F.lit("0" * 32).alias("hash"))
+    few = spark.createDataFrame([(b"a", "1"), (b"z", "2"), (b"z", "2")], "filename binary, hash string")
+    numbered = manifests.sort_manifest(equal.unionByName(few)).withColumn("part", F.spark_partition_id())
+    by_part = [r["count"] for r in numbered.where("hash = repeat('0', 32)").groupBy("part").count().collect()]
+    assert len(by_part) >= 4 and max(by_part) <= 100_000
+    summary = numbered.groupBy("filename").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("n")
+    )
+    assert {bytes(r.filename): (r.first, r.last, r.n) for r in summary.collect()} == {
+        b"a": (1, 1, 1),
+        b"same": (2, 200_001, 200_000),
+        b"z": (200_002, 200_003, 2),
+    }
+
+
+def test_sorting_an_empty_manifest(spark):
+    assert manifests.sort_manifest(spark.createDataFrame([], "filename binary, hash string")).count() == 0

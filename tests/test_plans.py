@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from coldledger.operators import catalogue, usage
+from coldledger.operators import catalogue, manifests, usage
 from coldledger.plans import bindings as b
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,37 @@ def test_lookup_shuffles_each_side_once(spark):
         assert exchanges(catalogue.find_objects(wanted, listing, "b", "lz4", False)) == own + 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_manifests_are_compared_without_sort_aggregates(spark, monkeypatch):
+    plans = []
+    real = manifests.durable
+
+    def recorded(df):
+        plans.append(plan(df))
+        return real(df)
+
+    monkeypatch.setattr(manifests, "durable", recorded)
+    rows = spark.range(50).selectExpr("CAST(concat('f', id % 40) AS BINARY) AS filename", "md5(CAST(id AS STRING)) AS hash")
+    plans.append(plan(manifests.compare_manifests(rows, rows.limit(30))))
+    assert len(plans) >= 4 and not any("SortAggregate" in text for text in plans)
+    # Packed hashes are plain numbers of one hash aggregate, with one shuffle.
+    assert "partial_max" in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_hard_links_need_windows_for_repeated_names_only(spark, monkeypatch):
+    plans = []
+    real = manifests.durable
+
+    def recorded(df):
+        plans.append(plan(df))
+        return real(df)
+
+    monkeypatch.setattr(manifests, "durable", recorded)
+    schema = "archive string, seq bigint, name binary, type string, linkname binary, hash string"
+    members = spark.createDataFrame([("a", 1, b"f", "file", None, "0" * 32), ("a", 2, b"l", "link", b"f", None)], schema)
+    found = manifests.resolve_hard_links(members)
+    assert not any("SortAggregate" in text or "Window" in text for text in plans)
+    assert {(r.seq, r.hash) for r in found.collect()} == {(1, "0" * 32), (2, "0" * 32)}
+    # No name has several files, so the branch with windows joins with a staged table without rows.
+    assert any(spark.read.parquet(folder).count() == 0 for folder in {f.rsplit("/", 1)[0] for f in found.inputFiles()})
