@@ -61,6 +61,9 @@ STANDARD_VOLUME_LIMIT_GB = 1024
 VOLUME_STANDARD = "standard"
 VOLUME_LARGE = "gp2"
 SUCCESS_HEADER = "These snapshots validated successfully:"
+OBJECT_MISSING = "\"s3://%s/%s\" should exist, but wasn't readable/found!"
+ARCHIVE_DIFFERS = 'Local directory and contents of S3 tar "s3://%s/%s" differ!'
+IMAGE_DIFFERS = "Hash of decompressed S3 object (%s) does not match local temporary volume (%s)"
 FAILURE_HEADER = "These snapshots failed to validate:"
 
 # --- uploads ----------------------------------------------------------------

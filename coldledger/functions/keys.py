@@ -39,17 +39,25 @@ def full_key(base: Column, codec: Column, encrypted: Column) -> Column:
     )
 
 
-_ENDING = r"(?s)^(.*)\.(" + "|".join(fv.CODECS) + r")(\.gpg)?\z"
+def _unencrypted(key: Column) -> Column:
+    shorter = F.substring(key, F.lit(1), F.length(key) - len(fv.ENCRYPTED_SUFFIX))
+    return F.when(key_encrypted(key), shorter).otherwise(key)
 
 
 def key_base(key: Column) -> Column:
     """``key`` without its codec and encryption endings; empty if it has no codec."""
-    return F.regexp_extract(key, _ENDING, 1)
+    bare = _unencrypted(key)
+    return F.coalesce(
+        *[F.when(bare.endswith(f".{c}"), F.substring(bare, F.lit(1), F.length(bare) - len(c) - 1)) for c in fv.CODECS],
+        F.when(key.isNotNull(), F.lit("")),
+    )
 
 
 def key_codec(key: Column) -> Column:
-    return F.regexp_extract(key, _ENDING, 2)
+    """The codec ending of ``key``, empty if it has none."""
+    bare = _unencrypted(key)
+    return F.coalesce(*[F.when(bare.endswith(f".{c}"), F.lit(c)) for c in fv.CODECS], F.when(key.isNotNull(), F.lit("")))
 
 
 def key_encrypted(key: Column) -> Column:
-    return F.regexp_extract(key, _ENDING, 3) != ""
+    return key.endswith(fv.ENCRYPTED_SUFFIX)

@@ -99,23 +99,46 @@ def validation_route(
     """What to validate each snapshot against: its image if stored, else archives.
 
     ``snapshots`` has an array ``partitions``. One row per image, or per
-    partition without an image; ``route`` is image, archive or missing.
+    partition without an image; ``route`` is image, archive or missing, and
+    ``place`` the partition's place in the array (-1 for an image). A missing
+    archive has its ``expected_key``, in the configured codec and encryption.
+    Images and archives are looked up together, so the listing is read and
+    moved once.
     """
     found = ["found_key", "found_size", "found_encrypted"]
-    images = durable(find_objects(with_image_key(snapshots), objects, bucket, codec, encrypted))
-    parts = images.where(F.col("found_key").isNull()).drop(*found, "found_codec")
-    parts = with_archive_key(parts.withColumn("partition_name", F.explode("partitions")))
-    archives = find_objects(parts, objects, bucket, codec, encrypted)
-    by_image = images.where(F.col("found_key").isNotNull()).select(
-        "snapshot_id", F.lit("").alias("partition_name"), F.lit("image").alias("route"), *found
-    )
-    by_archive = archives.select(
+    parts = F.transform("partitions", lambda name, place: F.struct(place.alias("place"), name.alias("partition_name")))
+    image = F.array(F.struct(F.lit(-1).alias("place"), F.lit("").alias("partition_name")))
+    wanted = snapshots.select(
+        "snapshot_id", "volume_id", "start_time", "description", F.inline(F.concat(image, F.coalesce(parts, F.array())))
+    )
+    is_image = F.col("place") < 0
+    base = F.when(is_image, image_base(*_identity())).otherwise(archive_base(*_identity(), F.col("partition_name")))
+    keyed = wanted.withColumns({"key_base": base, "expected_key": full_key(base, F.lit(codec), F.lit(encrypted))})
+    looked_up = durable(
+        find_objects(keyed, objects, bucket, codec, encrypted).select(
+            "snapshot_id", "partition_name", "place", "expected_key", *found
+        )
+    )
+    stored = F.col("found_key").isNotNull()
+    by_image = looked_up.where(is_image & stored).withColumn("route", F.lit("image"))
+    by_archive = (
+        looked_up.where(~is_image)
+        .join(by_image.select("snapshot_id"), "snapshot_id", "left_anti")
+        .withColumn("route", F.when(stored, F.lit("archive")).otherwise(F.lit("missing")))
+    )
+    return by_image.unionByName(by_archive).select(
         "snapshot_id",
         "partition_name",
-        F.when(F.col("found_key").isNotNull(), F.lit("archive")).otherwise(F.lit("missing")).alias("route"),
+        "place",
+        "route",
         *found,
+        F.when(F.col("route") == "missing", F.col("expected_key")).alias("expected_key"),
     )
-    return by_image.unionByName(by_archive)
+
+
+def missing_message(bucket: str) -> Column:
+    """What is said of a route without a stored object; null for the others."""
+    return F.when(F.col("route") == "missing", F.format_string(fv.OBJECT_MISSING, F.lit(bucket), F.col("expected_key")))
 
 
 # --- volumes ------------------------------------------------------------------

@@ -6,6 +6,8 @@ more than once, and no hash is null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ _SEQ_SPAN = 65_536
 _USUAL_HASH = "^[0-9a-f]{32}$"
 
 
-def _both(left: DataFrame, right: DataFrame) -> DataFrame:
+def _both(left: DataFrame, right: DataFrame, name: Sequence[str]) -> DataFrame:
     def side(df: DataFrame, is_left: int) -> DataFrame:
         return df.select(
-            "filename", "hash", F.lit(is_left).cast("bigint").alias("n_left"), F.lit(1 - is_left).cast("bigint").alias("n_right")
+            *name, "hash", F.lit(is_left).cast("bigint").alias("n_left"), F.lit(1 - is_left).cast("bigint").alias("n_right")
         )
 
     return side(left, 1).unionByName(side(right, 0))
@@ -54,10 +56,10 @@ def _unpacked(high: Column, low: Column) -> Column:
     return F.concat(*digits)
 
 
-def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_manifests(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Pair two manifests by name: match, differ, only_left or only_right.
 
-    Copies of a name pair up in hash order, first with first and so on. One hash
+    With ``keys``, many manifests are compared at once, those of equal keys with each other. Copies of a name pair up in hash order, first with first and so on. One hash
     aggregate by name (combined map-side, so a hot name is small) settles every
     name that occurs at most once per side: a hash of 32 lower-case hexadecimal
     digits is held as two numbers, which an aggregate can keep in place where it
@@ -65,12 +67,13 @@ def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     hash are numbered; the inputs are read again for those, so pass ``durable``
     or stored ones.
     """
-    rows = _both(left, right)
+    name = [*keys, "filename"]
+    rows = _both(left, right, name)
     usual = F.col("hash").rlike(_USUAL_HASH)
     halves = {"high": F.when(usual, _half(1)), "low": F.when(usual, _half(17))}
     names = durable(
         rows.withColumns({"odd": F.when(usual, 0).otherwise(1), **halves})
-        .groupBy("filename")
+        .groupBy(*name)
         .agg(
             F.sum("n_left").alias("n_left"),
             F.sum("n_right").alias("n_right"),
@@ -84,16 +87,16 @@ def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     )
     settled = (F.col("n_left") <= 1) & (F.col("n_right") <= 1) & (F.col("odd") == 0)
     hashes = [_unpacked(F.col(f"{side}_high"), F.col(f"{side}_low")).alias(f"{side}_hash") for side in ("left", "right")]
-    pairs = names.where(settled).select("filename", F.lit(1).cast("bigint").alias("copy"), *hashes)
+    pairs = names.where(settled).select(*name, F.lit(1).cast("bigint").alias("copy"), *hashes)
     # Staged, so that the planner knows how few they are.
-    again = durable(names.where(~settled).select("filename", (F.col("n_left") + F.col("n_right")).alias("rows")))
+    again = durable(names.where(~settled).select(*name, (F.col("n_left") + F.col("n_right")).alias("rows")))
     # Spread by row: a hot name's records may all have one hash.
-    spread = semi_join_spread(rows.withColumn("_row", F.monotonically_increasing_id()), again, ["filename"], "_row")
-    pairs = pairs.unionByName(_pair_copies(spread.drop("_row")))
+    spread = semi_join_spread(rows.withColumn("_row", F.monotonically_increasing_id()), again, name, "_row")
+    pairs = pairs.unionByName(_pair_copies(spread.drop("_row"), name))
     return pairs.withColumn("status", _status())
 
 
-def _pair_copies(rows: DataFrame) -> DataFrame:
+def _pair_copies(rows: DataFrame, name: Sequence[str]) -> DataFrame:
     """Pair the k-th left copy of each name with its k-th right copy.
 
     Equal records are first combined to counts. The running counts that number
@@ -101,13 +104,13 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
     of the smaller prefixes (at most 65,536 per name).
     """
     runs = durable(
-        rows.groupBy("filename", "hash")
+        rows.groupBy(*name, "hash")
         .agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
         .withColumn("_prefix", F.substring("hash", 1, _PREFIX_CHARS))
     )
-    group = ["filename", "_prefix"]
+    group = [*name, "_prefix"]
     earlier = Window.partitionBy(*group).orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
-    smaller = Window.partitionBy("filename").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy(*name).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         runs.groupBy(*group)
         .agg(F.sum("n_left").alias("_left"), F.sum("n_right").alias("_right"))
@@ -123,15 +126,15 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_right").over(earlier), F.lit(0)).alias("_right_local"),
     ).join(totals, group)
 
-    def side(is_left: bool, name: str) -> Column:
+    def side(is_left: bool, of: str) -> Column:
         return F.struct(
             F.lit(is_left).alias("_is_left"),
-            (F.col(f"_{name}_base") + F.col(f"_{name}_local")).alias("_start"),
-            F.col(f"n_{name}").alias("_n"),
+            (F.col(f"_{of}_base") + F.col(f"_{of}_local")).alias("_start"),
+            F.col(f"n_{of}").alias("_n"),
         )
 
     chunks = (
-        placed.select("filename", "hash", F.inline(F.array(side(True, "left"), side(False, "right"))))
+        placed.select(*name, "hash", F.inline(F.array(side(True, "left"), side(False, "right"))))
         .where(F.col("_n") > 0)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _CHUNK))))
     )
@@ -141,12 +144,12 @@ def _pair_copies(rows: DataFrame) -> DataFrame:
     is_left = F.col("_is_left")
     # Chunks are spread before their rows are written out: one record may have a
     # large share of all copies.
-    spread = durable(dealt(chunks, "filename", "hash", "_is_left", "_chunk"))
+    spread = durable(dealt(chunks, *name, "hash", "_is_left", "_chunk"))
 
-    def numbered(mine: Column, name: str) -> DataFrame:
-        return spread.where(mine).select("filename", F.explode(copies).alias("copy"), F.col("hash").alias(name))
+    def numbered(mine: Column, as_name: str) -> DataFrame:
+        return spread.where(mine).select(*name, F.explode(copies).alias("copy"), F.col("hash").alias(as_name))
 
-    return numbered(is_left, "left_hash").join(numbered(~is_left, "right_hash"), ["filename", "copy"], "full")
+    return numbered(is_left, "left_hash").join(numbered(~is_left, "right_hash"), [*name, "copy"], "full")
 
 
 def difference_message(left_name: str, right_name: str) -> Column:

@@ -274,6 +274,68 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def local_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of whole volumes, one per snapshot."""
+    return snapshots(spark, sf_dir).select("snapshot_id", F.md5("snapshot_id").alias("hash"))
+
+
+def stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all stored objects; some are of another content."""
+    key = F.col("key")
+    owner = F.regexp_extract(key, "(snap-[0-9a-z]+)", 1)
+    return objects(spark, sf_dir).select(
+        "key", F.md5(F.when(F.col("size") % 7 == 0, key).otherwise(owner)).alias("hash")
+    )
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a file of its snapshot; names repeat."""
+    event = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        _text("snap-", F.col("user_id"), F.col("event_type")).alias("snapshot_id"),
+        F.when(event % 2 == 0, F.lit("")).otherwise(F.lit("data")).alias("partition_name"),
+        _text("f", event % 31).cast("binary").alias("filename"),
+        F.md5(event.cast("string")).alias("hash"),
+    )
+
+
+def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the partitions of all snapshots."""
+    return _event_files(spark, sf_dir).drop("event_id")
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all stored archives: a few are missing, a few have another content."""
+    archives = F.array(
+        *[
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.lit(part).alias("partition_name"),
+                F.lit(codec).alias("codec"),
+                F.lit(encrypted).alias("encrypted"),
+            )
+            for kind, image, part, codec, encrypted in STORED
+            if not image
+        ]
+    )
+    identity = F.col("volume_id"), F.col("start_time"), F.col("snapshot_id"), F.col("description")
+    keyed = (
+        snapshots(spark, sf_dir)
+        .withColumn("spec", F.filter(archives, lambda a: a["kind"] == F.col("kind")))
+        .select("snapshot_id", *[c for c in ("volume_id", "start_time", "description")], F.inline("spec"))
+        .select(
+            "snapshot_id",
+            "partition_name",
+            full_key(archive_base(*identity, F.col("partition_name")), F.col("codec"), F.col("encrypted")).alias("key"),
+        )
+    )
+    event = F.col("event_id")
+    other = F.when(event % 1009 == 0, F.md5("filename")).otherwise(F.col("hash"))
+    files = _event_files(spark, sf_dir).where(event % 997 != 0).withColumn("hash", other).drop("event_id")
+    return files.join(keyed, ["snapshot_id", "partition_name"]).select("key", "filename", "hash")
+
+
 def requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(_text("snap-", F.col("o_custkey"), "click").alias("snapshot_id"))
 

@@ -283,6 +283,69 @@ _DOCUMENT_LINKS = """SELECT CAST(doc_id AS VARCHAR) AS filename, md5(text) AS ha
   UNION ALL SELECT 'links/' || doc_id, md5(text) FROM documents WHERE lang = 'es'"""
 
 # name -> (named subqueries it starts from, select)
+_PARTS |= {
+    "routes": (
+        ("stems", "parts", "objects"),
+        f"""WITH images AS ({_lookup("stems", "w.stem || '.img'", "snapshot_id", "lz4", "zstd")}),
+          archives AS ({_lookup("parts", "w.base", "snapshot_id, partition_name", "lz4", "zstd")})
+        SELECT snapshot_id, '' AS partition_name, -1 AS place, 'image' AS route, found_key, NULL AS base FROM images WHERE nth = 1
+        UNION ALL
+        SELECT p.snapshot_id, p.partition_name, CASE WHEN p.partition_name = '' THEN 0 ELSE 1 END,
+          CASE WHEN a.found_key IS NULL THEN 'missing' ELSE 'archive' END, a.found_key, p.base
+        FROM parts p LEFT JOIN archives a ON a.snapshot_id = p.snapshot_id AND a.partition_name = p.partition_name AND a.nth = 1
+        WHERE p.snapshot_id NOT IN (SELECT snapshot_id FROM images)""",
+    ),
+    "files": (
+        (),
+        """SELECT event_id, 'snap-' || user_id || event_type AS snapshot_id,
+          CASE WHEN event_id % 2 = 0 THEN '' ELSE 'data' END AS partition_name,
+          'f' || event_id % 31 AS filename, md5(CAST(event_id AS VARCHAR)) AS hash FROM events""",
+    ),
+    # The k-th file of a name in one partition is compared with the k-th of that name in its archive.
+    "file_pairs": (
+        ("files", "routes"),
+        """WITH mine AS (
+          SELECT found_key, filename, hash, row_number() OVER (PARTITION BY found_key, filename ORDER BY hash) AS copy
+          FROM files JOIN routes USING (snapshot_id, partition_name) WHERE route = 'archive'
+        ), theirs AS (
+          SELECT found_key, filename, CASE WHEN event_id % 1009 = 0 THEN md5(filename) ELSE hash END AS hash,
+            row_number() OVER (PARTITION BY found_key, filename ORDER BY CASE WHEN event_id % 1009 = 0 THEN md5(filename) ELSE hash END) AS copy
+          FROM files JOIN routes USING (snapshot_id, partition_name) WHERE route = 'archive' AND event_id % 997 <> 0
+        )
+        SELECT found_key, count(m.hash) AS files, count(*) FILTER (m.hash IS DISTINCT FROM t.hash) AS differences
+        FROM mine m FULL JOIN theirs t USING (found_key, filename, copy) GROUP BY found_key""",
+    ),
+    "image_hashes": (
+        ("objects",),
+        """SELECT key AS found_key,
+          md5(CASE WHEN size % 7 = 0 THEN key ELSE regexp_extract(key, 'snap-[0-9a-z]+') END) AS theirs FROM objects""",
+    ),
+    "checks": (
+        ("routes", "file_pairs", "image_hashes"),
+        """SELECT snapshot_id, partition_name, place, route, md5(snapshot_id) = theirs AS ok,
+          CAST(NULL AS BIGINT) AS files, CAST(NULL AS BIGINT) AS differences,
+          CASE WHEN md5(snapshot_id) <> theirs THEN 'Hash of decompressed S3 object (' || theirs
+            || ') does not match local temporary volume (' || md5(snapshot_id) || ')' END AS message
+        FROM routes JOIN image_hashes USING (found_key) WHERE route = 'image'
+        UNION ALL
+        SELECT snapshot_id, partition_name, place, route, coalesce(differences, 0) = 0, coalesce(files, 0), coalesce(differences, 0),
+          CASE WHEN differences > 0 THEN 'Local directory and contents of S3 tar "s3://backups/' || found_key || '" differ!' END
+        FROM routes LEFT JOIN file_pairs USING (found_key) WHERE route = 'archive'
+        UNION ALL
+        SELECT snapshot_id, partition_name, place, route, false, NULL, NULL,
+          '"s3://backups/' || base || '.lz4" should exist, but wasn''t readable/found!'
+        FROM routes WHERE route = 'missing'""",
+    ),
+    "validated": (
+        ("snapshots", "checks"),
+        """SELECT snapshot_id, 'validate' AS mode, count(*) FILTER (NOT c.ok) = 0 AS ok, count(*) AS checked,
+          count(*) FILTER (NOT c.ok) AS failed, first(message ORDER BY place) FILTER (NOT c.ok) AS message, state AS prior_tag,
+          CASE WHEN count(*) FILTER (NOT c.ok) = 0 THEN 'validated' WHEN state IN ('validated', 'validating') THEN 'migrated'
+            WHEN state IS NULL THEN '' ELSE state END AS new_tag
+        FROM snapshots JOIN checks c USING (snapshot_id) GROUP BY snapshot_id, state""",
+    ),
+}
+
 _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "usage_parse": (("usage",), "SELECT * FROM usage"),
     "usage_rejects": (
@@ -477,6 +540,28 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM parts p LEFT JOIN archives a ON a.snapshot_id = p.snapshot_id AND a.partition_name = p.partition_name AND a.nth = 1
         WHERE p.snapshot_id NOT IN (SELECT snapshot_id FROM images)""",
     ),
+    "missing_objects": (
+        ("routes",),
+        """SELECT snapshot_id, partition_name, base || '.lz4' AS expected_key,
+          '"s3://backups/' || base || '.lz4" should exist, but wasn''t readable/found!' AS message
+        FROM routes WHERE route = 'missing'""",
+    ),
+    "partition_checks": (
+        ("checks",),
+        "SELECT snapshot_id, partition_name, route, ok, files, differences, message FROM checks",
+    ),
+    "validation_outcomes": (
+        ("validated",),
+        "SELECT * FROM validated",
+    ),
+    "validation_report": (
+        ("validated",),
+        """SELECT row_number() OVER (ORDER BY section, part, snapshot_id) AS position, line FROM (
+          SELECT CASE WHEN ok THEN 0 ELSE 1 END AS section, 1 AS part, snapshot_id,
+            CASE WHEN ok THEN snapshot_id ELSE snapshot_id || ': ' || message END AS line FROM validated
+          UNION ALL SELECT DISTINCT CASE WHEN ok THEN 0 ELSE 1 END, 0, '', CASE WHEN ok THEN 'These snapshots validated successfully:'
+            ELSE 'These snapshots failed to validate:' END FROM validated)""",
+    ),
     "object_metadata": (
         ("snapshots",),
         """SELECT region, snapshot_id, 'snapshot-starttime' AS name, strftime(start_time, '%Y-%m-%dT%H:%M:%S+00:00') AS value FROM snapshots

@@ -16,7 +16,7 @@ from ..functions import fixed_values as fv
 from ..functions.paths import strip_directory, strip_root
 from ..functions.tags import volume_name
 from ..functions.text import parse_float_lenient, significant
-from ..operators import catalogue, costs, manifests, tiers, usage
+from ..operators import catalogue, costs, manifests, tiers, usage, validation
 from ..session import durable, mounted_path, new_folder, ship_package
 from ..sources import archives, directories, manifest_files, usage_csv
 from . import bindings as b
@@ -419,12 +419,42 @@ def object_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("snapshot_id", "partition_name", "found_key", "found_codec", "found_encrypted", "found_size")
 
 
-def validation_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.validation_route(
         b.snapshots(spark, sf_dir), b.objects(spark, sf_dir), b.BUCKET, "lz4", False
     )
 
 
+def validation_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routes(spark, sf_dir).drop("place", "expected_key")
+
+
+def missing_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = _routes(spark, sf_dir).where(F.col("route") == "missing")
+    message = catalogue.missing_message(b.BUCKET).alias("message")
+    return missing.select("snapshot_id", "partition_name", "expected_key", message)
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = durable(_routes(spark, sf_dir))
+    compared = validation.compare_archives(routes, b.local_files(spark, sf_dir), b.stored_files(spark, sf_dir))
+    images = b.local_images(spark, sf_dir), b.stored_images(spark, sf_dir)
+    return durable(validation.partition_checks(routes, compared, *images, b.BUCKET))
+
+
+def partition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir).select("snapshot_id", "partition_name", "route", "ok", "files", "differences", "message")
+
+
+def validation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validation_outcomes(b.snapshots(spark, sf_dir), _checks(spark, sf_dir), b.TAG)
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = validation.validation_outcomes(b.snapshots(spark, sf_dir), _checks(spark, sf_dir), b.TAG)
+    return catalogue.outcome_report(durable(outcomes))
+
+
 def object_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = catalogue.object_metadata(F.col("stored_bytes"))
     return b.snapshots(spark, sf_dir).select("region", "snapshot_id", F.explode(entries).alias("name", "value"))
@@ -529,6 +559,10 @@ QUERIES: dict[str, Query] = {
     "object_keys": object_keys,
     "object_lookup": object_lookup,
     "validation_route": validation_route,
+    "missing_objects": missing_objects,
+    "partition_checks": partition_checks,
+    "validation_outcomes": validation_outcomes,
+    "validation_report": validation_report,
     "object_metadata": object_metadata,
     "sanitise_tags": sanitise_tags,
     "snapshot_tags": snapshot_tags,
