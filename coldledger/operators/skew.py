@@ -111,15 +111,36 @@ def _after_bases(ranked: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(bases), "_part")
 
 
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a partition with the sum of ``_copies`` up to and with it."""
+def _running(batches: Iterator[pa.RecordBatch], weight: str) -> Iterator[pa.RecordBatch]:
+    """Each row of a partition with the sum of ``weight`` up to and with it."""
     total = 0
     for batch in batches:
-        ends = total + np.cumsum(batch.column("_copies").to_numpy())
+        ends = total + np.cumsum(batch.column(weight).to_numpy())
         total = int(ends[-1]) if len(ends) else total
         yield batch.append_column("_end", pa.array(ends, pa.int64()))
 
 
+def _with_ends(df: DataFrame, weight: str) -> DataFrame:
+    """``df``, staged, with its partition (``_part``) and the sum of ``weight`` in it so far (``_end``)."""
+    ship_package(df.sparkSession)
+    placed = df.withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*placed.schema.fields, T.StructField("_end", T.LongType())])
+    return durable(placed.mapInArrow(lambda batches: _running(batches, weight), schema))
+
+
+def dealt_by_weight(df: DataFrame, weight: Column, tasks: int) -> DataFrame:
+    """``df`` cut into ``tasks`` partitions of like sums of ``weight``, a positive whole number.
+
+    A row's place on the line of all weights, by a prefix sum over partitions, says which partition
+    it goes to; a row heavier than a partition's share has one to itself or with few others.
+    """
+    placed = _with_ends(df.withColumn("_weight", weight.cast("bigint")), "_weight")
+    total = placed.agg(F.sum("_weight")).first()[0] or 1
+    middle = F.col("_base") + F.col("_end") - F.col("_weight") / 2
+    share = F.least(F.floor(middle * tasks / total), F.lit(tasks - 1)).cast("int")
+    return _after_bases(placed).withColumn("_share", share).repartitionById(tasks, "_share").select(*df.columns)
+
+
 def sort_with_copies(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Sort ``df`` globally by ``order``, which covers all its columns, and number its rows from 1.
 
@@ -129,10 +150,7 @@ def sort_with_copies(df: DataFrame, order: Sequence[Column], name: str = "positi
     """
     columns = df.columns
     runs = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    sorted_runs = runs.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    ship_package(df.sparkSession)
-    schema = T.StructType([*sorted_runs.schema.fields, T.StructField("_end", T.LongType())])
-    placed = _after_bases(durable(sorted_runs.mapInArrow(_running, schema)))
+    placed = _after_bases(_with_ends(runs.orderBy(*order), "_copies"))
     numbered = placed.select(*columns, "_copies", (F.col("_base") + F.col("_end") - F.col("_copies")).alias("_start"))
     few = numbered.where(F.col("_copies") <= COPIES).select(*columns, "_start", "_copies")
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(COPIES).cast("bigint")))

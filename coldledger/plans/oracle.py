@@ -501,6 +501,10 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         "SELECT source || '/.' || doc_id || '.txt' AS filename, strlen(text) AS size, md5(text) AS hash FROM documents",
     ),
+    "directory_size": (
+        (),
+        """SELECT CAST(sum(strlen(text)) AS BIGINT) AS file_bytes, count(*) AS files FROM (SELECT DISTINCT text, doc_id % 16 FROM documents WHERE text IS NOT NULL)""",
+    ),
     "archive_members": ((), _DOCUMENT_LINKS),
     "work_queue": (
         ("snapshots",),

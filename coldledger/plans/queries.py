@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tarfile
 import uuid
@@ -337,6 +338,39 @@ def dir_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.withColumn("filename", F.col("filename").cast("string"))
 
 
+def _linked_writer(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Equal texts are names of one file, where their ids have the same rest by 16: a file system has a limit of names."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, doc_id, text in zip(batch["source"], batch["doc_id"], batch["text"]):
+                folder = os.path.join(root, source)
+                os.makedirs(folder, exist_ok=True)
+                first = os.path.join(root, f"{hashlib.md5(text.encode('utf-8')).hexdigest()}-{doc_id % 16}")
+                if not os.path.exists(first):
+                    with open(f"{root}.{uuid.uuid4().hex}.part", "wb") as out:
+                        out.write(text.encode("utf-8"))
+                    os.replace(out.name, first)
+                name = os.path.join(folder, str(doc_id))
+                if not os.path.exists(name):
+                    os.link(first, name)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    return write
+
+
+def directory_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, equal texts as names of one file: its bytes count once."""
+    ship_package(spark)
+    root = mounted_path(new_folder(spark, "linked"))
+    os.makedirs(root)
+    # The names of one file meet in one task, which alone makes it.
+    documents = b.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "doc_id", "text")
+    documents = documents.repartition(F.md5("text"), F.col("doc_id") % 16)
+    documents.mapInPandas(_linked_writer(root), "files bigint").agg(F.sum("files")).collect()
+    return directories.directory_size(spark, root).select("file_bytes", "files")
+
+
 def _archive_writer(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def add(tar: tarfile.TarFile, name: str, text: bytes = b"", target: str | None = None) -> None:
         member = tarfile.TarInfo(name)
@@ -551,6 +585,7 @@ QUERIES: dict[str, Query] = {
     "manifest_roundtrip": manifest_roundtrip,
     "cur_scan": cur_scan,
     "dir_manifest": dir_manifest,
+    "directory_size": directory_size,
     "archive_members": archive_members,
     "work_queue": work_queue,
     "work_queue_one": work_queue_one,

@@ -250,3 +250,37 @@ def test_text_report(spark, tmp_path):
     reports.write_report(lines, path)
     text = "".join((tmp_path / "report" / p).read_text() for p in sorted(os.listdir(path)) if p.startswith("part-"))
     assert text.splitlines() == [f"line {i}" for i in range(1, 101)]
+
+
+def test_bytes_of_a_file_with_three_names_count_once(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "tree"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "a" / "one").write_bytes(b"x" * 70_000)
+    os.link(root / "a" / "one", root / "two")
+    os.link(root / "a" / "one", root / "a" / "b" / "three")
+    (root / "empty").write_bytes(b"")
+    (root / "other").write_bytes(b"y" * 33)
+    (root / "pointer").symlink_to("other")
+    # A file that has another name outside counts all the same.
+    (tmp_path / "outside").write_bytes(b"z" * 11)
+    os.link(tmp_path / "outside", root / "inside")
+    row = directories.directory_size(spark, str(root)).first()
+    assert (row.file_bytes, row.files) == (70_000 + 33 + 11, 4)
+    du = int(subprocess.run(["du", "--bytes", "--summarize", root], capture_output=True, check=True).stdout.split()[0])
+    assert row.total_bytes == du
+    assert directories.directory_size(spark, str(root / "other")).first().total_bytes == 33
+
+
+def test_files_are_dealt_by_bytes(spark):
+    from coldledger.operators.skew import dealt_by_weight
+
+    rows = [(i, 10**9 if i == 700 else 1000 + i) for i in range(4000)]
+    small = sum(w for i, w in rows if i != 700)
+    dealt = dealt_by_weight(spark.createDataFrame(rows, "id int, size bigint"), F.col("size"), 8)
+    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("bytes"), F.count("id").alias("n")).collect()
+    assert sum(r.n for r in parts) == 4000 and len(parts) <= 8
+    even = dealt_by_weight(spark.createDataFrame(rows, "id int, size bigint").where("id <> 700"), F.col("size"), 8)
+    sums = [r.bytes for r in even.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("bytes")).collect()]
+    assert len(sums) == 8 and max(sums) - min(sums) < 4 * 5000 and sum(sums) == small
