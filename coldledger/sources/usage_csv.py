@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import csv
+import gzip
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from py4j.java_gateway import JavaObject
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from ..session import durable, ship_package
 
 _GZIP_MAGIC = b"\x1f\x8b"
 #: A header row is looked for in so many bytes of a file.
@@ -51,30 +55,31 @@ def _files(spark: SparkSession, path: str) -> Iterator[JavaObject]:
         yield from below(status)
 
 
-def _header(spark: SparkSession, status: JavaObject) -> tuple[str, ...]:
-    """The names in a file's header row; none for an empty file.
+#: How a file is read: Spark unpacks what is named .gz, tasks of ours unpack other gzip data.
+PLAIN, NAMED_GZIP, OTHER_GZIP = "plain", "named gzip", "other gzip"
 
-    Spark picks the codec by file name, so gzip under another name would read as noise.
-    """
+
+def _header(spark: SparkSession, status: JavaObject) -> tuple[tuple[str, ...], str]:
+    """The names in a file's header row, none for an empty file, and how the file is packed by its first bytes."""
     path = status.getPath()
     stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
     try:
         head = bytes(stream.readNBytes(HEAD_BYTES))
     finally:
         stream.close()
-    packed = path.getName().endswith(".gz")
-    if head.startswith(_GZIP_MAGIC) and not packed:
-        raise ValueError(f"{path.toString()} is gzip data; name it with a .gz ending")
-    if packed and head:
+    kind = NAMED_GZIP if path.getName().endswith(".gz") else OTHER_GZIP if head.startswith(_GZIP_MAGIC) else PLAIN
+    if kind == OTHER_GZIP and not path.toString().startswith("file:"):
+        raise ValueError(f"{path.toString()} is gzip data; name it with a .gz ending where it is not mounted")
+    if kind != PLAIN and head:
         head = zlib.decompressobj(31).decompress(head, HEAD_BYTES)
     lines = head.decode("utf-8-sig", "replace").splitlines(keepends=True)
     if not lines:
-        return ()
+        return (), kind
     names = tuple(next(csv.reader(lines)))
     missing = [name for name in fv.USAGE_COLUMNS if name not in names]
     if missing:
         raise ValueError(f"{path.toString()} lacks the columns {', '.join(missing)}")
-    return names
+    return names, kind
 
 
 def _schema(names: Sequence[str]) -> T.StructType:
@@ -93,15 +98,181 @@ def _least_split(spark: SparkSession) -> int:
     return max(1, min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size) for size in sizes))
 
 
-def _require_closed_quotes(spark: SparkSession, paths: Sequence[str]) -> None:
-    """Fail if a line of plain files ends within a quoted cell."""
+# Lines -----------------------------------------------------------------------
+# A line's effect on quotes is a function of whether a quoted cell is open before it, given by its
+# two values. Functions of lines compose to those of blocks, so blocks are looked at apart.
+
+
+def _opens(text: Column) -> Column:
+    """Whether a quoted cell is open after ``text``, which begins outside of one."""
     # Without doubled quotes, a cell that begins with a quote must end with the next one.
-    single = F.regexp_replace("value", '""', "")
+    single = F.regexp_replace(text, '""', "")
     rest = F.regexp_replace(single, r'(?:^|(?<=,))"[^"]*+"(?=,|\z)', "")
-    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    found = lines.where(F.contains("value", F.lit('"')) & rest.rlike('(?:^|,)"')).first()
+    return F.contains(text, F.lit('"')) & rest.rlike('(?:^|,)"')
+
+
+def _stays_open(text: Column) -> Column:
+    """Whether a quoted cell is open after ``text``, which begins inside of one."""
+    # What follows the closing quote, up to the next comma, is no beginning of a cell.
+    after = F.regexp_extract(text, r'(?s)^(?:[^"]|"")*+"(.*)\z', 1)
+    closed = text.rlike(r'(?s)^(?:[^"]|"")*+"')
+    return ~closed | _opens(F.concat(F.lit("."), after))
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], unit: int) -> DataFrame:
+    """All lines of plain files with their file, block, place in the block, and effect on quotes."""
+    return (
+        spark.read.option("lineSep", "\n")
+        .text(list(paths))
+        .select(
+            F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("_file"),
+            F.floor(F.col("_metadata.file_block_start") / unit).alias("_block"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
+            "value",
+            _opens(F.col("value")).alias("_from_closed"),
+            _stays_open(F.col("value")).alias("_from_open"),
+        )
+    )
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The effect of all lines of each block of a task together, and whether one of them could leave a cell open."""
+    found: dict[tuple[str, int], list] = {}
+    for batch in batches:
+        names = ("_file", "_block", "_from_closed", "_from_open")
+        for file, block, from_closed, from_open in zip(*(batch.column(name).to_pylist() for name in names)):
+            one = found.setdefault((file, block), [False, True])
+            one[:] = [from_open if state else from_closed for state in one]
+    rows = [{"_file": f, "_block": b, "_from_closed": x, "_from_open": y} for (f, b), (x, y) in found.items()]
+    yield pa.RecordBatch.from_pylist(rows, schema=_EFFECT)
+
+
+_EFFECT = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("_from_closed", pa.bool_()), ("_from_open", pa.bool_())]
+)
+_PIECE = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("_row", pa.int64()), ("text", pa.string()), ("_begins", pa.bool_()), ("_ends", pa.bool_())]
+)
+
+
+def _open_blocks(lines: DataFrame) -> list[tuple[str, int]]:
+    """The blocks that begin inside a quoted cell: one row per block with quotes reaches the driver."""
+    effects = (
+        lines.where(F.contains("value", F.lit('"')))
+        .select("_file", "_block", "_from_closed", "_from_open")
+        .mapInArrow(_composed, "_file string, _block bigint, _from_closed boolean, _from_open boolean")
+        .collect()
+    )
+    state: dict[str, tuple[int, bool]] = {}
+    found: list[tuple[str, int]] = []
+    for file, block, from_closed, from_open in sorted(tuple(row) for row in effects):
+        before, is_open = state.get(file, (block, False))
+        # Blocks without quotes leave a cell open if it was.
+        found += [(file, between) for between in range(before + 1, block + 1) if is_open]
+        state[file] = (block, from_open if is_open else from_closed)
+    return found
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines brought together to records. A record that goes on in the next block is given in pieces."""
+    place, state, begins, start, parts = None, False, True, 0, []
+    out: list[tuple] = []
+
+    def give(ends: bool) -> None:
+        nonlocal parts, begins
+        if parts:
+            out.append((*place, start, "\n".join(parts), begins, ends))
+        parts, begins = [], True
+
+    def taken() -> pa.RecordBatch:
+        nonlocal out
+        columns = list(zip(*out)) if out else [[] for _ in _PIECE]
+        out = []
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
+
+    for batch in batches:
+        names = ("_file", "_block", "_row", "value", "_from_closed", "_from_open", "_open")
+        for file, block, row, value, from_closed, from_open, is_open in zip(*(batch.column(n).to_pylist() for n in names)):
+            if (file, block) != place:
+                give(not state)
+                place, state = (file, block), is_open
+                begins = not is_open
+            if not parts:
+                start = row
+            parts.append(value)
+            state = from_open if state else from_closed
+            if not state:
+                give(True)
+        yield taken()
+    give(not state)
+    yield taken()
+
+
+def _split_records(spark: SparkSession, lines: DataFrame, open_blocks: list[tuple[str, int]], header: tuple[str, ...]) -> DataFrame:
+    """The rows of plain files whose cells hold line breaks, each block read apart."""
+    marked = spark.createDataFrame(open_blocks, "_file string, _block bigint").withColumn("_open", F.lit(True))
+    kind = "_file string, _block bigint, _row bigint, text string, _begins boolean, _ends boolean"
+    pieces = durable(
+        lines.join(F.broadcast(marked), ["_file", "_block"], "left")
+        .withColumn("_open", F.coalesce("_open", F.lit(False)))
+        .select("_file", "_block", "_row", "value", "_from_closed", "_from_open", "_open")
+        .mapInArrow(_records, kind)
+    )
+    whole = pieces.where("_begins AND _ends").select("_file", "_block", "_row", "text")
+    # At most two pieces a block: each goes to the last one before it that begins a record.
+    before = Window.partitionBy("_file").orderBy("_block", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(F.col("_begins"), F.struct("_block", "_row")), ignorenulls=True).over(before)
+    joined = (
+        pieces.where("NOT (_begins AND _ends)")
+        .withColumn("_first", first)
+        .groupBy("_file", "_first")
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "_row", "text"))).alias("parts"))
+        .select("_file", "_first._block", "_first._row", F.array_join("parts.text", "\n").alias("text"))
+    )
+    # The schema is all text, as the scans of other files have it.
+    options = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    text = F.regexp_replace("text", r"\r\z", "")
+    named = ", ".join(f"`{field.name}` STRING" for field in _schema(header).fields)
+    parsed = F.from_csv(text, named, options)
+    is_header = (F.col("_block") == 0) & (F.col("_row") == 0)
+    return (
+        whole.unionByName(joined)
+        .where(~is_header & (F.trim(text) != ""))
+        .select("_file", "_block", "_row", parsed.alias("parsed"))
+        .select(*[F.coalesce(F.col(f"parsed.`{name}`"), F.lit("")).alias(name) for name in fv.USAGE_COLUMNS], "_file", "_block", "_row")
+    )
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of gzip files under other names, streamed."""
+    names = [*fv.USAGE_COLUMNS, "_file", "_block", "_row"]
+    for batch in batches:
+        for file in batch.column("_file").to_pylist():
+            with gzip.open(unquote(file.removeprefix("file:")), "rt", encoding="utf-8-sig", errors="replace", newline="") as stream:
+                rows = csv.reader(stream)
+                header = next(rows)
+                places = [header.index(name) for name in fv.USAGE_COLUMNS]
+                out: list[tuple] = []
+
+                def taken() -> pa.RecordBatch:
+                    columns = list(zip(*out)) if out else [[] for _ in names]  # noqa: B023
+                    kinds = [pa.string()] * 6 + [pa.int64()] * 2
+                    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+                for number, row in enumerate(rows):
+                    if row:
+                        out.append((*(row[k] if k < len(row) else "" for k in places), file, 0, number))
+                    if len(out) >= 10_000:
+                        yield taken()
+                        out = []
+                yield taken()
+
+
+def _require_closed_quotes(lines: DataFrame) -> None:
+    """Fail if a line of plain files ends within a quoted cell."""
+    found = lines.where(F.contains("value", F.lit('"')) & F.col("_from_closed")).first()
     if found is not None:
-        raise ValueError(f"{found['file']} has a line with an unclosed quote; read it with multi_line=True")
+        raise ValueError(f"{found['_file']} has a line with an unclosed quote; read it with multi_line=True")
 
 
 def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
@@ -113,43 +284,29 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
     is read once), through the files of a directory by name, and through the lines of each file,
     however Spark deals the files to tasks.
 
-    Cells may hold line breaks, so each file is one task. Without ``multi_line``, Spark splits large
-    plain files between tasks; one more pass looks at their quotes first, and a cell with a line break
-    is an error. Gzip files are one task either way and may have such cells.
+    Gzip data is known by its first bytes, whatever the file's name, and is one task a file. Large
+    plain files are split between tasks. Their quotes are looked at first: if a cell holds a line
+    break, it is found by the prefix of what the blocks before do to quotes, and blocks are parsed
+    apart from there. Without ``multi_line`` such a cell is an error in plain files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = list({status.getPath().toUri().toString(): status for path in paths for status in _files(spark, path)}.items())
     with ThreadPoolExecutor(_THREADS) as pool:
         headers = list(pool.map(lambda file: _header(spark, file[1]), files))
     unit, block = _least_split(spark), 0
-    same_header: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    same_header: dict[tuple[tuple[str, ...], str], list[str]] = defaultdict(list)
     first_blocks: list[tuple[str, int]] = []
-    for (name, status), header in zip(files, headers):
+    for (name, status), (header, kind) in zip(files, headers):
         if header:
-            whole = multi_line or status.getPath().getName().endswith(".gz")
-            same_header[header, whole].append(status.getPath().toString())
+            same_header[header if kind != OTHER_GZIP else (), kind].append(status.getPath().toString())
             first_blocks.append((name, block))
             block += 1 + status.getLen() // unit
     if not same_header:
         raise ValueError(f"no file of {', '.join(paths)} has a header row")
     if block >> (63 - _ROW_BITS):
         raise ValueError("too many blocks to number; raise spark.sql.files.openCostInBytes")
-    split = [path for (_, whole), same in same_header.items() if not whole for path in same]
-    if split:
-        _require_closed_quotes(spark, split)
     scans = [
-        spark.read.schema(_schema(header))
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", whole)
-        .csv(same)
-        .select(
-            *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in fv.USAGE_COLUMNS],
-            F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("_file"),
-            F.floor(F.col("_metadata.file_block_start") / unit).alias("_block"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
-        )
-        for (header, whole), same in same_header.items()
+        scan for (header, kind), same in same_header.items() for scan in _scans(spark, header, kind, same, unit, multi_line)
     ]
     # As small as the list of files that the driver holds; the planner knows its size.
     ranks = spark.createDataFrame(first_blocks, "_file string, _first bigint").withColumn(
@@ -166,6 +323,39 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
     )
 
 
+def _scans(
+    spark: SparkSession, header: tuple[str, ...], kind: str, same: list[str], unit: int, multi_line: bool
+) -> list[DataFrame]:
+    """The rows of files of one kind and header, with file, block and place in the block."""
+    if kind == OTHER_GZIP:
+        ship_package(spark)
+        uris = [(status.getPath().toUri().toString(),) for path in same for status in _files(spark, path)]
+        listed = spark.createDataFrame(uris, "_file string").withColumn("_file", F.regexp_replace("_file", _SCHEME, "$1:/"))
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in (*fv.USAGE_COLUMNS, "_file")])
+        schema = schema.add("_block", T.LongType()).add("_row", T.LongType())
+        return [listed.repartition(len(uris), "_file").mapInArrow(_unpacked, schema)]
+    if kind == PLAIN:
+        lines = _lines(spark, same, unit)
+        if not multi_line:
+            _require_closed_quotes(lines)
+        elif lines.agg(F.bool_or("_from_closed").alias("any")).first()["any"]:
+            ship_package(spark)
+            return [_split_records(spark, lines, _open_blocks(lines), header)]
+    return [
+        spark.read.schema(_schema(header))
+        .option("header", True)
+        .option("escape", '"')
+        .option("multiLine", kind != PLAIN)
+        .csv(same)
+        .select(
+            *[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in fv.USAGE_COLUMNS],
+            F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("_file"),
+            F.floor(F.col("_metadata.file_block_start") / unit).alias("_block"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_row"),
+        )
+    ]
+
+
 def write_usage_report(report: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write the report columns as CSV with a header."""
     columns = [_column(name) for name in report.columns if name != "seq"]

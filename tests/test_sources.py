@@ -50,11 +50,12 @@ def test_reports_with_other_column_orders(spark, tmp_path):
 
 
 def test_hidden_gzip_and_missing_column(spark, tmp_path):
-    hidden, short = tmp_path / "r.csv", tmp_path / "s.csv"
+    hidden, named, short = tmp_path / "r e%1.csv", tmp_path / "r.csv.gz", tmp_path / "s.csv"
     hidden.write_bytes(gzip.compress(f"{HEADER}\n{BODY}".encode()))
+    named.write_bytes(hidden.read_bytes())
     short.write_text("lineItem/Operation\nx\n")
-    with pytest.raises(ValueError, match="gzip"):
-        read(spark, str(hidden))
+    assert read(spark, str(hidden)) == read(spark, str(named)) == EXPECTED
+    assert read(spark, [str(named), str(hidden)]) == EXPECTED + EXPECTED
     with pytest.raises(ValueError, match="lineItem/ResourceId"):
         read(spark, str(short))
 
@@ -87,6 +88,28 @@ def test_line_breaks_in_split_files(spark, tmp_path):
     assert read(spark, str(plain), multi_line=False) == read(spark, str(plain)) == [row] * len(sound)
 
 
+def test_line_breaks_are_found_across_blocks(spark, tmp_path):
+    """Cells with line breaks, quotes and long texts, in blocks far smaller than some cells."""
+    rng = random.Random(4)
+    cells = ["x", "", '"line\nbreak"', '"a ""b\nc"', '"""\nb"', '"x,\n1,2,3,4,5,6"', '"\n"', '5" disk', 'x""', '"a, ""q"" c"', '"\r\ny"', '"' + "long\n,1,2\n" * 900 + '"', '"' + "z" * 9000 + '\n"']
+    lines = [f"CreateSnapshot,{rng.choice(cells)},{i},s/e,{rng.choice(cells)},0.05\n" for i in range(1500)]
+    path = tmp_path / "r.csv"
+    path.write_text(HEADER + "\n" + "".join(lines), newline="")
+    whole = tmp_path / "w.csv.gz"
+    whole.write_bytes(gzip.compress(path.read_bytes()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16k")
+    try:
+        report = usage_csv.read_usage_report(spark, str(path))
+        got = read(spark, str(path))
+        assert len(report.select("seq").distinct().collect()) == 1500
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [int(r[3]) for r in got] == list(range(1500))
+    assert got == read(spark, str(whole))
+
+
 def test_report_written_and_read(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text(f"{HEADER}\n{BODY}")
