@@ -56,7 +56,8 @@ def _files(spark: SparkSession, path: str) -> Iterator[JavaObject]:
 
 
 #: How a file is read: Spark unpacks what is named .gz, tasks of ours unpack other gzip data.
-PLAIN, NAMED_GZIP, OTHER_GZIP = "plain", "named gzip", "other gzip"
+#: Plain files that are no larger than the least split have nothing to gain from being split.
+PLAIN, SMALL, NAMED_GZIP, OTHER_GZIP = "plain", "small plain", "named gzip", "other gzip"
 
 
 def _header(spark: SparkSession, status: JavaObject) -> tuple[tuple[str, ...], str]:
@@ -284,8 +285,8 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
     is read once), through the files of a directory by name, and through the lines of each file,
     however Spark deals the files to tasks.
 
-    Gzip data is known by its first bytes, whatever the file's name, and is one task a file. Large
-    plain files are split between tasks. Their quotes are looked at first: if a cell holds a line
+    Gzip data is known by its first bytes, whatever the file's name, and is one task a file. Plain
+    files larger than the least split are split between tasks. Their quotes are looked at first: if a cell holds a line
     break, it is found by the prefix of what the blocks before do to quotes, and blocks are parsed
     apart from there. Without ``multi_line`` such a cell is an error in plain files.
     """
@@ -298,6 +299,8 @@ def read_usage_report(spark: SparkSession, paths: str | Sequence[str], multi_lin
     first_blocks: list[tuple[str, int]] = []
     for (name, status), (header, kind) in zip(files, headers):
         if header:
+            if kind == PLAIN and multi_line and status.getLen() <= unit:
+                kind = SMALL
             same_header[header if kind != OTHER_GZIP else (), kind].append(status.getPath().toString())
             first_blocks.append((name, block))
             block += 1 + status.getLen() // unit
