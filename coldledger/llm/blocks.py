@@ -31,8 +31,11 @@ _SAME_LEVEL = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+# A quote opens a value only right after an equals sign; anywhere else, and where it is never closed, it is a
+# character like others. Two dashes that follow the opening ones at once are those of a comment's end.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|[^<]+|<",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)(?:>|\Z)|[^<]+|<",
     re.S,
 )
 # What is between these tags is no markup. Scripts have comments, in which a script may stand whole.
