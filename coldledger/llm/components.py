@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_spread
 from ..session import durable
 
 
@@ -44,3 +45,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         current = durable(_small_star(_large_star(current)))
         before, after = after, _state(current)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def least_of_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node`` and ``reached`` of each of ``nodes`` (node, least): the smallest ``least`` in its component.
+
+    Nodes have numbers of their own, so different nodes may have the same ``least``. A component with a
+    large share of all nodes is split.
+    """
+    members = durable(
+        nodes.join(connected_components(edges), "node", "left").select(
+            "node", "least", F.coalesce("component", "node").alias("component")
+        )
+    )
+    several = durable(
+        members.groupBy("component").agg(F.min("least").alias("reached"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    )
+    joined = join_spread(
+        members, several.select("component", "reached"), ["component"], several.select("component", "rows"), "node"
+    )
+    return joined.select("node", F.coalesce("reached", "least").alias("reached"))

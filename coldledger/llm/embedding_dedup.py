@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..operators.skew import with_positions
 from ..session import durable, ship_package
 from .arrays import batchwise, byte_view
-from .components import connected_components
+from .components import least_of_components
 
 THRESHOLD = 0.9
 #: Vectors of a strip have so many bytes at most, so that two strips fit into a task.
@@ -324,7 +324,8 @@ def near_duplicates(
 
     Vectors that are null, empty or zero, that hold null or non-finite components, or whose id is
     null link with nothing. Equal vectors are one class for the comparison and count one by one as
-    links. Only vectors of equal length are compared.
+    links. Only vectors of equal length are compared. Rows that share an id are linked by their own
+    vectors. An empty table gives an empty result; further columns do not matter, whatever their names.
     """
     ship_package(vectors.sparkSession)
     element = vectors.schema[vector].dataType.elementType
@@ -337,14 +338,15 @@ def near_duplicates(
     classes = durable(
         packed.where("vector IS NOT NULL AND id IS NOT NULL")
         .groupBy("vector")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        .select("id", "copies", "vector")
+        .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        # A number of its own, as rows that share an id may differ in their vectors.
+        .select(F.monotonically_increasing_id().alias("id"), "least", "copies", "vector")
     )
     width = np.dtype(dtype).itemsize
     sizes = classes.groupBy((F.octet_length("vector") / width).cast("int").alias("size")).count().collect()
     found = None
     for size, count in sorted((r["size"], r["count"]) for r in sizes):
-        part = classes.where(F.octet_length("vector") == size * width)
+        part = classes.where(F.octet_length("vector") == size * width).drop("least")
         links = _links_of_size(part, count, dtype, size, least)
         found = links if found is None else found.unionByName(links)
     if found is None:
@@ -356,14 +358,15 @@ def near_duplicates(
         )
     found = durable(found)
     links = found.where("links IS NOT NULL").groupBy("u").agg(F.sum("links").alias("links"))
-    tied = connected_components(found.where("v IS NOT NULL").select("u", "v"))
+    edges = found.where("v IS NOT NULL").select("u", "v")
+    reached = least_of_components(classes.select(F.col("id").alias("node"), "least"), edges)
     described = (
         classes.join(links, classes["id"] == links["u"], "left")
-        .join(tied, classes["id"] == tied["node"], "left")
+        .join(reached, classes["id"] == reached["node"])
         .select(
             classes["vector"].alias("of_vector"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-            F.coalesce("component", classes["id"]).alias("component"),
+            F.col("reached").alias("component"),
         )
     )
     joined = packed.join(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
 from .arrays import batchwise, byte_view, free_name, slices
-from .components import connected_components
+from .components import connected_components, least_of_components
 from .embedding_dedup import forest
 from .shingles import fingerprint, intersection_size, mixed, shingle_sets
 
@@ -315,7 +315,9 @@ def near_groups(
 
     Texts are linked when 100 * intersection >= ``least_percent`` * union of their shingle sets.
     A text with fewer words than a shingle has one shingle, all its words. Null and empty texts and
-    those without words have none and are linked with nothing. A null id is its own group.
+    those without words have none and are linked with nothing. A null id is its own group. Rows that
+    share an id are linked by their own texts, equal rows with each other. Texts of any length are taken
+    whole. An empty table gives an empty result; further columns do not matter, whatever their names.
     """
     ship_package(docs.sparkSession)
     source = docs.select(
@@ -329,21 +331,23 @@ def near_groups(
             "doc_id bigint, n_shingles bigint, mark binary, left array<bigint>, right array<bigint>",
         )
     )
-    # Texts with equal sets are one class, whatever its size.
+    # Texts with equal sets are one class, whatever its size. It has a number of its own, as rows that
+    # share an id may differ in their texts.
     classes = durable(
         signed.where("mark IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("mark")
         .agg(
-            F.min("doc_id").alias("id"),
+            F.min("doc_id").alias("least"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("left").alias("left"),
             F.first("right").alias("right"),
         )
+        .withColumn("id", F.monotonically_increasing_id())
     )
     members = candidate_members(classes.select("id", "n_shingles", "left", "right"))
-    wanted = members.select("id").distinct().join(classes.select("id", "mark"), "id")
+    wanted = members.select("id").distinct().join(classes.select("id", "least", "mark"), "id")
     texts = durable(
-        source.join(wanted, source["doc_id"] == wanted["id"])
+        source.join(wanted, source["doc_id"] == wanted["least"])
         .select("id", "mark", "text")
         .transform(batchwise, lambda batches: _with_mark(batches, words), "id bigint, mark binary, text string")
         .select("id", "text")
@@ -355,9 +359,9 @@ def near_groups(
         tested.append(confirmed(_leader_pairs(placed, tested, least_percent), texts, words, least_percent))
     tested.append(_family_links(durable(_placed(members, tested)), texts, words, least_percent))
     edges = reduce(DataFrame.unionByName, tested).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tied = connected_components(edges)
-    grouped = classes.join(tied, classes["id"] == tied["node"], "left").select(
-        classes["mark"].alias("of_mark"), F.coalesce("component", "id").alias("component")
+    reached = least_of_components(classes.select(F.col("id").alias("node"), "least"), edges)
+    grouped = classes.join(reached, classes["id"] == reached["node"]).select(
+        classes["mark"].alias("of_mark"), F.col("reached").alias("component")
     )
     joined = signed.select("doc_id", "n_shingles", "mark").join(
         grouped, (F.col("mark") == F.col("of_mark")) & F.col("doc_id").isNotNull(), "left"

@@ -86,6 +86,51 @@ def _clustering(rounds: int = 10, clusters: int = 8, size: int = 64) -> str:
     """
 
 
+# All pairs that share a shingle, then what can be reached over links.
+_NEAR_TEXTS = f"""
+    WITH RECURSIVE words AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), sets AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN w
+            ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS shingles
+        FROM words
+    ), spread AS MATERIALIZED (
+        SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM sets
+    ), links AS MATERIALIZED (
+        SELECT a.doc_id AS a, b.doc_id AS b
+        FROM spread a JOIN spread b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+        GROUP BY a.doc_id, b.doc_id, a.size, b.size
+        HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))
+    ), reached AS (
+        SELECT doc_id AS a, doc_id AS b FROM sets
+        UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+    ), components AS (
+        SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+    )
+    SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN components USING (doc_id)
+"""
+
+_NEAR_VECTORS = """
+    WITH RECURSIVE usable AS MATERIALIZED (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+          AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+    ), links AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+    ), reached AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings
+        UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+    ), components AS (
+        SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+    )
+    SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM components
+"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
         WITH folded AS (SELECT doc_id, {_FOLD} AS folded FROM documents)
@@ -96,6 +141,8 @@ ORACLE_SQL = {
                sha256(folded) AS text_sha256
         FROM folded
     """,
+    "op6_minhash_dedup": _NEAR_TEXTS,
+    "op7_embedding_dedup": _NEAR_VECTORS,
     "op10_warc": """
         WITH payloads AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
