@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: one for each word of a lexicon, stated or mined from labelled texts,
-one for each mined word beginning, and some patterns. A generative model estimates how often each voter fires on toxic and on clean
-texts, and which voters only repeat each other. The given label of a training text is one more
-voter, of stated reliability. The model's posterior labels train a linear classifier.
+one for each mined word beginning, and some patterns. A generative model estimates how often each
+voter fires on toxic and on clean texts, and which voters only repeat each other. The given label of
+a training text is one more voter: what it counts is estimated from how it agrees with the others.
+The model's posterior labels train a linear classifier.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,22 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import durable, ship_package
 from .arrays import batchwise, slices, texts_of
 from .labelled import logistic, remainder, training_rows
 
-#: Labelled documents to learn from, at most, and mined words, at most.
+#: Labelled documents to learn from, at most; it bounds what reaches the driver.
 TRAINING_ROWS = 10_000
-MINED_WORDS = 256
 #: Lengths of word beginnings; they are written with a star.
 BEGINNINGS = (4, 5, 6, 7)
 #: Labels of ids whose remainder by DIVISOR is HELD_OUT are never learned from.
 DIVISOR, HELD_OUT = 5, 0
 RIDGE = 1e-4
-#: How often a given label is taken to be right.
-LABEL_TRUST = 0.98
-#: Mined words are chosen until each toxic training text has so many, where there are any.
-VOTERS_OF_TEXT = 2
+#: How often a given label is taken to be right at first.
+FIRST_TRUST = 0.9
+#: Mined words are chosen until each toxic training text has so many, where there are any: the one of
+#: these numbers that does best on the part of the training rows that is kept from its own choice of words.
+VOTERS_OF_TEXT = (1, 2, 4, 8, 16)
+_CHECKED_PART = 3
 # Common English, German, French and Spanish insults.
 LEXICON = (
     "asshole bastard bitch clown cretin disgusting dumb fool freak garbage idiot imbecile loser moron pathetic pig "
@@ -120,10 +122,16 @@ def _shares(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
     return 1 / np.maximum(related.sum(axis=1), 1.0)
 
 
-def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Expectation maximisation on 0/1 ``votes``, from the log odds of the given labels."""
-    posterior = 1 / (1 + np.exp(-given))
-    model = None
+def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[LabelModel, np.ndarray]:
+    """The model of 0/1 ``votes`` and the log odds that the given labels add, by expectation maximisation.
+
+    ``known`` says which texts are labelled toxic; that starts the estimate, and so fixes which class
+    is which. After that the labels are a voter whose rates are those at which the other voters see it
+    fire on toxic and on clean texts.
+    """
+    toxic_rate, clean_rate = FIRST_TRUST, 1 - FIRST_TRUST
+    posterior = np.where(known, toxic_rate, clean_rate)
+    model, given = None, np.zeros(len(votes))
     for _ in range(rounds):
         toxic, clean = posterior.sum(), (1 - posterior).sum()
         model = LabelModel(
@@ -132,11 +140,15 @@ def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> L
             _shares(votes, posterior),
             float(np.clip((toxic + 1) / (len(votes) + 2), 1e-4, 0.5)),
         )
+        others = model.posterior(votes, np.zeros(len(votes)))
+        toxic_rate = (others @ known + 1) / (others.sum() + 2)
+        clean_rate = ((1 - others) @ known + 1) / ((1 - others).sum() + 2)
+        given = np.where(known, np.log(toxic_rate / clean_rate), np.log((1 - toxic_rate) / (1 - clean_rate)))
         after = model.posterior(votes, given)
         if np.abs(after - posterior).max() < 1e-6:
             break
         posterior = after
-    return model
+    return model, given
 
 
 @dataclass(frozen=True)
@@ -144,10 +156,12 @@ class ToxicityModel:
     lexicon: tuple[str, ...]
     weights: np.ndarray
 
+    def odds(self, fired: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Log odds of being toxic, from ``_matrix``."""
+        return _inputs(fired, words) @ self.weights[:-1] + self.weights[-1]
+
     def score(self, texts: list[str]) -> np.ndarray:
-        x = _inputs(*_matrix(texts, self.lexicon))
-        z = x @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.odds(*_matrix(texts, self.lexicon)), -500, 500)))
 
 
 def _inputs(fired: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -172,12 +186,12 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def covering_words(words: list[str], texts: list[np.ndarray], odds: np.ndarray, most: int) -> list[str]:
-    """``most`` of ``words`` at most, chosen one by one by the ``texts`` they add, times their log odds.
+def covering_words(words: list[str], texts: list[np.ndarray], odds: np.ndarray, voters: int) -> list[str]:
+    """``words`` chosen one by one by the ``texts`` they add, times their log odds.
 
     A text counts for a word while no chosen word is in it; when no word adds three such texts, while
-    one chosen word is in it, and so on up to VOTERS_OF_TEXT. So a language's words do not compete with those of a larger
-    one for the same texts. A word is left out if a chosen one covers it.
+    one chosen word is in it, and so on up to ``voters``. So a language's words do not compete with
+    those of a larger one for the same texts. A word is left out if a chosen one covers it.
     """
     counts = np.array([len(own) for own in texts], np.int64)
     owner = np.repeat(np.arange(len(words)), counts)
@@ -186,7 +200,7 @@ def covering_words(words: list[str], texts: list[np.ndarray], odds: np.ndarray,
     times, free = np.zeros(len(flat), np.int64), np.ones(len(words), bool)
     chosen: dict[str, int] = {}
     layer = 0
-    while len(chosen) < most and free.any() and layer < VOTERS_OF_TEXT:
+    while free.any() and layer < voters:
         added = np.bincount(owner, times[place] <= layer, len(words)) * free
         if added.max() < 3:
             layer += 1
@@ -203,11 +217,11 @@ def covering_words(words: list[str], texts: list[np.ndarray], odds: np.ndarray,
     return list(chosen)
 
 
-def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
-    """Words and beginnings of toxic training texts that clean ones have hardly ever, the most telling first."""
+def words_by_voters(rows: DataFrame, voters: Sequence[int]) -> list[list[str]]:
+    """Words and beginnings of toxic training texts that clean ones have hardly ever, for each number of ``voters``."""
     toxic, clean = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     if not toxic or not clean:
-        return []
+        return [[] for _ in voters]
     counted = (
         rows.select("label", "text", F.monotonically_increasing_id().alias("place"))
         .transform(batchwise, _word_rows, "word string, label int, place bigint")
@@ -221,15 +235,33 @@ def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
     )
     found = counted.select("word", "toxic", "clean", "places").toPandas().sort_values("word")
     odds = np.log((found["toxic"].to_numpy(float) + 0.5) / (found["clean"].to_numpy(float) + 0.5) * (clean / toxic))
-    return covering_words(found["word"].tolist(), [np.asarray(own, np.int64) for own in found["places"]], odds, most)
+    words, places = found["word"].tolist(), [np.asarray(own, np.int64) for own in found["places"]]
+    return [covering_words(words, places, odds, number) for number in voters]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learn from a sample of at most TRAINING_ROWS labelled documents (doc_id, text)."""
-    ship_package(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic", TRAINING_ROWS, DIVISOR, HELD_OUT)
-    lexicon = tuple(sorted(set(LEXICON) | set(mined_words(rows))))
+def mined_words(rows: DataFrame, most: int | None = None, voters: int = 2) -> list[str]:
+    """The words for one number of ``voters``, the most telling first; all of them, or the first ``most``."""
+    return words_by_voters(rows, [voters])[0][:most]
+
+
+@dataclass(frozen=True)
+class _Sample:
+    """Firings (``counts``) of the voters of a lexicon, number of words and label of each training text."""
 
+    lexicon: tuple[str, ...]
+    counts: np.ndarray
+    words: np.ndarray
+    known: np.ndarray
+    checked: np.ndarray
+
+    def columns(self, lexicon: tuple[str, ...], rows: np.ndarray) -> _Sample:
+        """That of a smaller lexicon and some rows."""
+        kept = [k for k, word in enumerate(self.lexicon) if word in set(lexicon)]
+        kept += range(len(self.lexicon), self.counts.shape[1])
+        return _Sample(lexicon, self.counts[np.ix_(rows, kept)], self.words[rows], self.known[rows], self.checked[rows])
+
+
+def _sample(rows: DataFrame, lexicon: tuple[str, ...]) -> _Sample:
     def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -237,34 +269,79 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("label"),
+                        batch.column("checked"),
                         pa.array(words),
                         pa.FixedSizeListArray.from_arrays(pa.array(votes.ravel()), votes.shape[1]).cast(
                             pa.list_(pa.float64())
                         ),
                     ],
-                    ["label", "words", "fired"],
+                    ["label", "checked", "words", "fired"],
                 )
 
-    found = rows.select("label", "text").transform(batchwise, fired, "label int, words double, fired array<double>").toPandas()
+    schema = "label int, checked boolean, words double, fired array<double>"
+    found = rows.select("label", "checked", "text").transform(batchwise, fired, schema).toPandas()
     size = len(lexicon) + len(_PATTERNS) + 1
     found["key"] = [np.asarray(f, float).tobytes() for f in found["fired"]]
-    found = found.sort_values(["key", "words", "label"])  # the order of tasks must not matter
-    counts = np.array([np.frombuffer(key) for key in found["key"]], float).reshape(len(found), size)
-    words = found["words"].to_numpy(float)
-    known = found["label"].to_numpy() == 1
+    found = found.sort_values(["key", "words", "label", "checked"])  # the order of tasks must not matter
     if not len(found):
-        counts, words, known = np.zeros((1, size)), np.ones(1), np.zeros(1, bool)
-    votes = (counts > 0).astype(float)
-    given = np.log(LABEL_TRUST / (1 - LABEL_TRUST)) * np.where(known, 1.0, -1.0)
-    posterior = fit_label_model(votes, given).posterior(votes, given)
+        return _Sample(lexicon, np.zeros((1, size)), np.ones(1), np.zeros(1, bool), np.zeros(1, bool))
+    return _Sample(
+        lexicon,
+        np.array([np.frombuffer(key) for key in found["key"]], float).reshape(len(found), size),
+        found["words"].to_numpy(float),
+        found["label"].to_numpy() == 1,
+        found["checked"].to_numpy(bool),
+    )
+
+
+def _fitted(sample: _Sample) -> ToxicityModel:
+    votes = (sample.counts > 0).astype(float)
+    model, given = fit_label_model(votes, sample.known)
+    posterior = model.posterior(votes, given)
+    weights = logistic(_inputs(sample.counts, sample.words), posterior, RIDGE, intercept=True)
     # What was not seen to fire keeps the say of an average voter of the stated lexicon.
-    weights = logistic(_inputs(counts, words), posterior, RIDGE, intercept=True)
+    size = votes.shape[1]
     seen = votes.any(axis=0)
     if seen.any() and not seen.all():
         weights[:size][~seen] = np.median(weights[:size][seen])
     elif not seen.any():
         weights[:size], weights[-1] = 4.0, -2.0
-    return ToxicityModel(lexicon, weights)
+    return ToxicityModel(sample.lexicon, weights)
+
+
+def _lexicon(mined: list[str]) -> tuple[str, ...]:
+    return tuple(sorted(set(LEXICON) | set(mined)))
+
+
+def best_voters(rows: DataFrame) -> int:
+    """The number of voters a text that does best, by the harmonic mean of precision and recall, on the checked
+    part of the training ``rows`` when words are mined from the rest; of equally good ones the smallest."""
+    lexicons = [_lexicon(words) for words in words_by_voters(rows.where(~F.col("checked")), VOTERS_OF_TEXT)]
+    sample = _sample(rows, tuple(sorted(set().union(*lexicons))))
+    best, choice = -1.0, VOTERS_OF_TEXT[0]
+    for voters, lexicon in zip(VOTERS_OF_TEXT, lexicons):
+        model = _fitted(sample.columns(lexicon, np.flatnonzero(~sample.checked)))
+        checked = sample.columns(lexicon, np.flatnonzero(sample.checked))
+        toxic = model.odds(checked.counts, checked.words) >= 0
+        score = 2 * (toxic & checked.known).sum() / max(1, toxic.sum() + checked.known.sum())
+        if score > best:
+            best, choice = score, voters
+    return choice
+
+
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learn from a sample of at most TRAINING_ROWS labelled documents (doc_id, text).
+
+    The sample is staged. All its words count; how many become voters is chosen within it.
+    """
+    ship_package(docs.sparkSession)
+    part = F.pmod(F.crc32(F.concat(F.lit("part "), F.col("doc_id").cast("string")).cast("binary")), F.lit(_CHECKED_PART))
+    rows = durable(
+        training_rows(docs, labels, "toxic", TRAINING_ROWS, DIVISOR, HELD_OUT).select(
+            "label", "text", (part == 0).alias("checked")
+        )
+    )
+    return _fitted(_sample(rows, _lexicon(mined_words(rows, voters=best_voters(rows)))))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
@@ -275,7 +352,12 @@ def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted of each document; null and empty texts are scored as clean ones."""
+    """doc_id, held_out, score (0 to 1) and predicted of each document; null and empty texts are scored as clean ones.
+
+    Rows that share an id are scored by their own texts, whole whatever their length. Without usable
+    labels the stated lexicon decides. An empty table gives an empty result; further columns do not
+    matter, whatever their names.
+    """
     plain = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     )
