@@ -5,6 +5,10 @@ mix is a sequence of slots in output shards; each shard draws how many slots eac
 from a multinomial distribution. A source's slots are mapped through a pseudorandom permutation
 of its block numbers, a new one for each pass over the source, and joined with the blocks by
 number.
+
+Nothing here grows with the number of sources but tables: sources are numbered by a distributed
+sort, their targets follow from one water level, and the slots of the shards are drawn down a tree
+of sources, FANOUT children a node, one level after another.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.skew import dealt, join_spread, with_positions
 from ..session import durable, ship_package
 from .arrays import batchwise, free_name, slices
 
@@ -31,8 +37,11 @@ BLOCK_WORDS = 1024
 #: Output shards have LEAST_SHARD_SLOTS slots, or more so that there are MOST_SHARDS shards at most.
 LEAST_SHARD_SLOTS = 1024
 MOST_SHARDS = 4096
-#: Source names are settings that come with weights, and their totals are handled on the driver.
-MOST_SOURCES = 100_000
+#: Children of a node of the tree of sources. A task draws for one node at a time, so it holds at
+#: most MOST_SHARDS x FANOUT counts.
+FANOUT = 256
+#: Wordless documents have block numbers below 0, of which there are this many.
+_NO_BLOCKS = 1 << 20
 #: Rows that a window over one bucket of a source numbers, on average.
 BUCKET_ROWS = 4096
 SEED = 20240817
@@ -42,7 +51,8 @@ _ROUNDS = 4
 
 def target_words(sizes: Sequence[int], weights: Sequence[float], most_passes: int = MOST_PASSES) -> list[float]:
     """Words to take of each source: the sum of all sizes shared by weight, where no source gets
-    more than ``most_passes`` times its size and the excess is shared again by weight."""
+    more than ``most_passes`` times its size and the excess is shared again by weight. For sizes at
+    hand; ``with_targets`` does the same for a table of sources."""
     targets = [0.0] * len(sizes)
     left, free = float(sum(sizes)), [i for i, size in enumerate(sizes) if size > 0]
     while free:
@@ -78,6 +88,8 @@ class Permutation:
         return (x ^ (x >> np.uint64(29))) & np.uint64((1 << bits) - 1)
 
     def _walk(self, values: np.ndarray, turns: Sequence[int], back: bool) -> np.ndarray:
+        if self.size == 1:
+            return np.zeros(len(values), np.int64)
         bits = self._half_bits()
         low = np.uint64((1 << bits) - 1)
         out = np.asarray(values, np.uint64).copy()
@@ -105,28 +117,47 @@ def _permutation(source: int, turn: int, blocks: int, seed: int) -> Permutation:
     return Permutation(blocks, (seed * 1_000_003 + source) * 1009 + turn)
 
 
-@dataclass(frozen=True)
-class SourcePlan:
-    """How a source is taken: ``words`` in all, by ``slots`` slots, the last with ``last_words`` words."""
+def with_targets(sources: DataFrame, weights: Sequence[float], most_passes: int = MOST_PASSES) -> DataFrame:
+    """``sources`` (source_no, size) with target: what ``target_words`` gives, for any number of sources.
 
-    source: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-    last_words: int
+    A source gets its weight times a water level, or ``most_passes`` times its size if that is less.
+    The level rises while sources fill up: each round is one aggregate over the sources, with one
+    row per weight, and the last is the first round in which no further source is full.
+    """
+    kind = F.pmod("source_no", F.lit(len(weights)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (kind + 1).cast("int"))
+    most = (F.col("size") * most_passes).cast("double")
+
+    def sums(rows: DataFrame) -> tuple[int, int, float]:
+        found = rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
+        return (
+            sum(r["n"] for r in found),
+            sum(r["size"] for r in found),
+            math.fsum(weights[r["kind"]] * r["n"] for r in found),
+        )
+
+    free = sources.where("size > 0")
+    number, size, weight_of_all = sums(free)
+    level, full = (size / weight_of_all if number else 0.0), 0
+    while full < number:
+        now_full, full_size, full_weight = sums(free.where(F.lit(level) * weight >= most))
+        if now_full <= full or now_full == number:
+            break
+        full, level = now_full, (size - most_passes * full_size) / (weight_of_all - full_weight)
+    return sources.withColumn("target", F.least(F.lit(level) * weight, most))
 
 
-def plan_source(number: int, source: str | None, size: int, target: float, block_words: int, seed: int) -> SourcePlan:
+def plan_source(number: int, size: int, target: float, block_words: int, seed: int) -> tuple[int, int, int]:
+    """How a source is taken: its blocks, the slots it fills, and the words of the last slot."""
     blocks = -(-size // block_words)
     words = min(round(target), MOST_PASSES * size)
     if not words:
-        return SourcePlan(source, size, target, blocks, 0, 0)
+        return blocks, 0, 0
     passes, rest = divmod(words, size)
     tail = size - (blocks - 1) * block_words
     if not rest:
         last = _permutation(number, passes - 1, blocks, seed).at(np.array([blocks - 1]))[0]
-        return SourcePlan(source, size, target, blocks, passes * blocks, tail if last == blocks - 1 else block_words)
+        return blocks, passes * blocks, tail if last == blocks - 1 else block_words
     # The one short block shifts what follows it in this pass.
     short = _permutation(number, passes, blocks, seed).place_of(blocks - 1)
     before = (rest - 1) // block_words
@@ -139,45 +170,102 @@ def plan_source(number: int, source: str | None, size: int, target: float, block
         else:
             more = -(-after // block_words)
             taken, last_words = short + 1 + more, after - (more - 1) * block_words
-    return SourcePlan(source, size, target, blocks, passes * blocks + taken, last_words)
+    return blocks, passes * blocks + taken, last_words
 
 
-def shard_counts(slots: Sequence[int], shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: multinomial draws by what each source has left."""
+def _plans(frames: Iterator[pd.DataFrame], block_words: int, seed: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = zip(frame["source_no"].tolist(), frame["size"].tolist(), frame["target"].tolist())
+        planned = [plan_source(number, size, target, block_words, seed) for number, size, target in rows]
+        yield frame.assign(**{name: [p[i] for p in planned] for i, name in enumerate(("blocks", "slots", "last_words"))})
+
+
+def split_counts(needs: Sequence[int], slots: Sequence[int], seeds: Sequence[Sequence[int]]) -> np.ndarray:
+    """Slots of each child in each shard, where shard i needs ``needs[i]`` and all needs together are
+    all ``slots``: multinomial draws by what each child has left."""
     left = np.array(slots, np.int64)
-    total = int(left.sum())
-    rows = []
-    for shard in range(-(-total // shard_slots) if total else 0):
-        need = min(shard_slots, int(left.sum()))
-        draw = np.zeros_like(left)
-        rng = np.random.default_rng([seed, shard])
-        while need:
+    rows = np.zeros((len(needs), len(left)), np.int64)
+    for draw, need, seed in zip(rows, needs, seeds):
+        rng = np.random.default_rng(list(seed))
+        missing = int(need)
+        while missing:
             free = left - draw
-            draw += np.minimum(rng.multinomial(need, free / free.sum()), free)
-            need = min(shard_slots, int(left.sum())) - int(draw.sum())
+            draw += np.minimum(rng.multinomial(missing, free / free.sum()), free)
+            missing = int(need) - int(draw.sum())
         left -= draw
-        rows.append(draw)
-    return np.array(rows, np.int64).reshape(len(rows), len(left))
+    return rows
+
+
+def _drawn(frames: Iterator[pd.DataFrame], level: int, seed: int) -> Iterator[pd.DataFrame]:
+    """For each child of each node: the shards that it has slots in, and how many."""
+    for frame in frames:
+        for node, shards, counts, children in frame[["node", "shards", "counts", "children"]].itertuples(index=False):
+            numbers, slots = ([child[name] for child in children] for name in ("child", "slots"))
+            drawn = split_counts(counts, slots, [(seed, level, node, shard) for shard in shards])
+            at = [np.flatnonzero(column) for column in drawn.T]
+            yield pd.DataFrame(
+                {
+                    "node": numbers,
+                    "shards": [np.asarray(shards)[found] for found in at],
+                    "counts": [column[found] for column, found in zip(drawn.T, at)],
+                }
+            )
+
+
+def draw_shards(plans: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """node (a source's number) with shards and counts, arrays of the same length: the shards that
+    have slots of the source, ascending, and how many each has.
+
+    A tree over the source numbers: the root's counts are the shards' sizes, and each level splits
+    the counts of a node among its children. So a task meets no more than FANOUT children at once.
+    """
+    spark = plans.sparkSession
+    sources, total = plans.agg(F.max("source_no"), F.sum("slots")).first()
+    total = total or 0
+    full, rest = divmod(total, shard_slots)
+    sizes = [shard_slots] * full + [rest] * (rest > 0)
+    levels = 1
+    while FANOUT**levels <= (sources or 0):
+        levels += 1
+    schema = "node long, shards array<long>, counts array<long>"
+    nodes = spark.createDataFrame([(0, list(range(len(sizes))), sizes)], schema)
+    for level in range(levels):
+        child = F.floor(F.col("source_no") / F.lit(FANOUT ** (levels - level - 1))).cast("long")
+        slots = plans.where("slots > 0").groupBy(child.alias("child")).agg(F.sum("slots").alias("slots"))
+        # FANOUT at most.
+        children = slots.groupBy(F.floor(F.col("child") / FANOUT).cast("long").alias("node")).agg(
+            F.sort_array(F.collect_list(F.struct("child", "slots"))).alias("children")
+        )
+        met = nodes.join(children.hint("merge"), "node")
+        nodes = durable(met.mapInPandas(lambda frames, level=level: _drawn(frames, level, seed), schema))
+    return nodes
+
 
+_SLOTS = "shard long, source_no long, slot long, pass long, block long, words long"
 
-def _slots(
-    frames: Iterator[pd.DataFrame], plans: list[SourcePlan], seed: int, block_words: int
-) -> Iterator[pd.DataFrame]:
-    piece = 1 << 16
+
+def _slots(frames: Iterator[pd.DataFrame], seed: int, block_words: int, piece: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    names = [column.split()[0] for column in _SLOTS.split(", ")]
+    made: list[tuple] = []
+    held = 0
+    wanted = ["shard", "source_no", "first", "count", "size", "blocks", "slots", "last_words"]
     for frame in frames:
-        for shard, number, first, count in frame[["shard", "source_no", "first", "count"]].itertuples(index=False):
-            plan = plans[number]
+        for shard, number, first, count, size, blocks, slots, last_words in frame[wanted].itertuples(index=False):
             for start in range(first, first + count, piece):
                 index = np.arange(start, min(start + piece, first + count), dtype=np.int64)
-                turn, place = np.divmod(index, plan.blocks)
+                turn, place = np.divmod(index, blocks)
                 block = np.empty_like(place)
                 for t in np.unique(turn):
-                    block[turn == t] = _permutation(number, int(t), plan.blocks, seed).at(place[turn == t])
-                words = np.minimum(block_words, plan.size - block * block_words)
-                words[index == plan.slots - 1] = plan.last_words
-                yield pd.DataFrame(
-                    {"shard": shard, "source_no": number, "slot": index, "pass": turn, "block": block, "words": words}
-                )
+                    block[turn == t] = _permutation(number, int(t), blocks, seed).at(place[turn == t])
+                words = np.minimum(block_words, size - block * block_words)
+                words[index == slots - 1] = last_words
+                made.append((np.full_like(index, shard), np.full_like(index, number), index, turn, block, words))
+                held += len(index)
+                if held >= piece:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*made)))))
+                    made, held = [], 0
+    if made:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*made)))))
 
 
 @dataclass(frozen=True)
@@ -206,10 +294,9 @@ def plan_mix(
 
     Reruns over the same rows agree: documents are laid out by id, equal ids by content, and which of
     several equal rows comes first makes no difference. ``row`` names a column that numbers the rows.
-    An empty table gives an empty mix.
+    An empty table gives an empty mix. There may be any number of sources.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     sized = durable(
         docs.select(
@@ -220,40 +307,36 @@ def plan_mix(
             F.xxhash64(body).alias("content"),
         )
     )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    found = totals.limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; mix groups of sources instead")
-    # Python compares strings by code point.
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in found]
-    targets = target_words(sizes, [weights[i % len(weights)] for i in range(len(found))])
-    plans = [
-        plan_source(i, r["source"], r["size"], t, block_words, seed) for i, (r, t) in enumerate(zip(found, targets))
-    ]
-    slots = [plan.slots for plan in plans]
-    shard_slots = max(LEAST_SHARD_SLOTS, -(-sum(slots) // MOST_SHARDS))
-    counts = shard_counts(slots, shard_slots, seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    shard_rows = [
-        (int(shard), int(number), int(firsts[shard, number]), int(counts[shard, number]))
-        for shard, number in zip(*np.nonzero(counts))
-    ]
-    schema = "shard long, source_no long, first long, count long"
-    drawn = spark.createDataFrame(pd.DataFrame(shard_rows, columns=["shard", "source_no", "first", "count"]), schema)
-    taken = drawn.repartition(max(1, min(len(counts), spark.sparkContext.defaultParallelism * 4)), "shard").mapInPandas(
-        lambda frames: _slots(frames, plans, seed, block_words),
-        "shard long, source_no long, slot long, pass long, block long, words long",
-    )
-    listed = pd.DataFrame(
-        [(i, p.source, p.size, p.target, -(-r["rows"] // bucket_rows)) for i, (p, r) in enumerate(zip(plans, found))],
-        columns=["source_no", "source", "source_size", "target", "buckets"],
+    # No name is null where a key must be equal.
+    key = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless")]
+    named = sized.select("row", "doc_id", "size", "content", *key)
+    totals = named.groupBy("name", "nameless").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    # Spark compares strings by their UTF-8, which is by code point.
+    numbered = with_positions(totals, [F.col("nameless"), F.col("name")])
+    targets = with_targets(numbered.withColumn("source_no", F.col("position") - 1).drop("position"), weights)
+    added = [StructField(name, LongType()) for name in ("blocks", "slots", "last_words")]
+    schema = StructType([*targets.schema.fields, *added])
+    plans = durable(targets.mapInPandas(lambda frames: _plans(frames, block_words, seed), schema))
+    slots = plans.agg(F.sum("slots")).first()[0] or 0
+    shard_slots = max(LEAST_SHARD_SLOTS, -(-slots // MOST_SHARDS))
+    drawn = draw_shards(plans, shard_slots, seed).withColumnRenamed("node", "source_no")
+    shares = (
+        drawn.select("source_no", F.explode(F.arrays_zip("shards", "counts")).alias("share"))
+        .select("source_no", F.col("share.shards").alias("shard"), F.col("share.counts").alias("count"))
+        .withColumn("first", F.sum("count").over(Window.partitionBy("source_no").orderBy("shard")) - F.col("count"))
     )
-    described = spark.createDataFrame(
-        listed, "source_no long, source string, source_size long, target double, buckets long"
+    planned = shares.join(plans.select("source_no", "size", "blocks", "slots", "last_words"), "source_no")
+    taken = dealt(planned, "shard", "source_no").mapInPandas(lambda frames: _slots(frames, seed, block_words), _SLOTS)
+    described = plans.select(
+        "name",
+        "nameless",
+        "source_no",
+        F.col("size").alias("source_size"),
+        "target",
+        F.ceil(F.col("rows") / bucket_rows).cast("long").alias("buckets"),
     )
-    # At most MOST_SOURCES rows.
-    known = sized.join(F.broadcast(described), sized["source"].eqNullSafe(described["source"])).drop("source")
+    # Staged, so the planner knows its size; beyond what it broadcasts, hot sources are split.
+    known = join_spread(named, described, ["name", "nameless"], plans.select("name", "nameless", "rows"), "row").drop("name", "nameless")
     return Mix(_placed(known), taken, block_words)
 
 
@@ -297,7 +380,7 @@ def taken_spans(mix: Mix) -> DataFrame:
                 F.sequence(
                     F.floor(F.col("first_word") / size).cast("long"), F.floor((last - 1) / size).cast("long")
                 ),
-            )
+            ).otherwise(F.array(-1 - F.pmod(F.xxhash64("row"), F.lit(_NO_BLOCKS))))
         ),
     )
     # The planner cannot see how many slots there are, so it must not broadcast them.
