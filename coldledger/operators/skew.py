@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from ..session import durable, ship_package
 
-# A key is split when it holds more than 1/HOT_SHARE of all rows, so there can be
-# at most HOT_SHARE such keys: that bounds what is broadcast here.
+# A key is split when it holds more than 1/HOT_SHARE of all rows, or the rows of more than
+# HOT_PARTS parts. So n rows have at most HOT_SHARE + n / (HOT_PARTS * PART_ROWS) such keys, which
+# bounds what is broadcast here: 21,000 keys of 10^12 rows.
 HOT_SHARE = 1000
+HOT_PARTS = 50
 # Rows of one part of a split key, at most.
 PART_ROWS = 1_000_000
 # Copies of a row that are written in one piece.
@@ -23,10 +25,11 @@ _ROW_BITS = 33
 
 
 def parts_per_key(rows_per_key: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """The hot keys of ``rows_per_key``, at most HOT_SHARE, and into how many parts each is split."""
+    """The hot keys of ``rows_per_key`` and into how many parts each is split."""
     total = rows_per_key.agg(F.sum("rows").alias("total")).scalar()
     most = F.greatest(F.least(F.lit(part_rows), F.floor(total / HOT_SHARE)), F.lit(1))
-    return rows_per_key.where(F.col("rows") * HOT_SHARE > total).select(
+    hot = (F.col("rows") * HOT_SHARE > total) | (F.col("rows") > HOT_PARTS * part_rows)
+    return rows_per_key.where(hot).select(
         *keys, F.ceil(F.col("rows") / most).cast("int").alias("_parts")
     )
 
@@ -54,9 +57,10 @@ def join_spread(
     """Left join of ``facts`` with ``dims`` (unique per key), splitting hot keys.
 
     ``rows_per_key`` holds the keys and a ``rows`` count of ``facts``. A key with
-    more than a thousandth of all rows is split by a hash of ``spread_by`` into
-    parts of at most ``part_rows`` rows and at most a thousandth of all, on
-    average; its one dimension row is repeated for each. Other keys are untouched.
+    more than a thousandth of all rows, or more than HOT_PARTS times ``part_rows``,
+    is split by a hash of ``spread_by`` into parts of at most ``part_rows`` rows and
+    at most a thousandth of all, on average; its one dimension row is repeated for
+    each. Other keys are untouched.
     """
     return _spread(facts, dims, list(keys), rows_per_key, spread_by, "left", part_rows)
 
@@ -82,12 +86,13 @@ def with_rows(wanted: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataF
 def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Sort ``df`` globally and number its rows from 1.
 
-    The sorted rows are staged together with the number of their partition and their place in it. A
-    row's number is that place plus the sizes of the partitions before; only those sizes (one row
-    per partition) meet in one task.
+    ``df`` is computed once: a sort samples its input before it reads it, so it is given a staged
+    one. The sorted rows are staged together with the number of their partition and their place in
+    it. A row's number is that place plus the sizes of the partitions before; only those sizes (one
+    row per partition) meet in one task.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**_ROW_BITS - 1)) + 1
-    ranked = durable(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_end")))
+    ranked = durable(durable(df).orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_end")))
     return _after_bases(ranked).select((F.col("_base") + F.col("_end")).alias(name), *df.columns)
 
 
@@ -150,7 +155,7 @@ def sort_with_copies(df: DataFrame, order: Sequence[Column], name: str = "positi
     """
     columns = df.columns
     runs = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = _after_bases(_with_ends(runs.orderBy(*order), "_copies"))
+    placed = _after_bases(_with_ends(durable(runs).orderBy(*order), "_copies"))
     numbered = placed.select(*columns, "_copies", (F.col("_base") + F.col("_end") - F.col("_copies")).alias("_start"))
     few = numbered.where(F.col("_copies") <= COPIES).select(*columns, "_start", "_copies")
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(COPIES).cast("bigint")))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from coldledger.operators import costs, skew
 
@@ -193,3 +194,26 @@ def test_semi_join_of_many_keys_repeats_none_of_the_cold(spark):
     wanted = skew.with_rows(spark.range(120_000).selectExpr("id AS k"), facts, ["k"])
     assert skew.parts_per_key(wanted, ["k"]).count() == 0
     assert skew.semi_join_spread(facts, wanted, ["k"], "id").count() == 240_000
+
+
+def test_keys_of_many_parts_are_split_however_small_their_share(spark):
+    counts = spark.createDataFrame([(k, 10) for k in range(5000)] + [(5000, 51)], "k long, rows long")
+    got = {r.k: r._parts for r in skew.parts_per_key(counts, ["k"], part_rows=1).collect()}
+    assert got == {5000: 51}
+
+
+def test_numbering_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(1000).mapInPandas(counted, "id long")
+    numbered = skew.with_positions(rows, [F.col("id").desc()])
+    assert numbered.agg(F.sum(F.col("position") + F.col("id"))).first()[0] == 1000 * 1000
+    assert numbered.count() == 1000 and seen.value == 1000
+    seen.add(-1000)
+    copies = skew.sort_with_copies(rows.select(F.col("id") % 10), [F.col("(id % 10)")])
+    assert copies.count() == 1000 and seen.value == 1000
