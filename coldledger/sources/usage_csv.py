@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import gzip
-import zlib
+import io
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -21,7 +21,7 @@ from ..functions import fixed_values as fv
 from ..session import durable, ship_package
 
 _GZIP_MAGIC = b"\x1f\x8b"
-#: A header row is looked for in so many bytes of a file.
+#: A file's beginning is read in pieces of so many bytes, until the header row has ended.
 HEAD_BYTES = 1 << 18
 # Heads are read by so many threads of the driver.
 _THREADS = 32
@@ -34,6 +34,34 @@ def _column(name: str) -> Column:
     return F.col(f"`{name}`").alias(name)
 
 
+class _Opened(io.RawIOBase):
+    """A stream opened by Spark's file systems, for Python's readers."""
+
+    def __init__(self, stream: JavaObject) -> None:
+        self._stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        piece = bytes(self._stream.readNBytes(len(into)))
+        into[: len(piece)] = piece
+        return len(piece)
+
+
+def _first_row(content: io.BufferedIOBase) -> tuple[str, ...]:
+    """The cells of the first row, however long; none of an empty file."""
+    head = b""
+    while piece := content.read(HEAD_BYTES):
+        head += piece
+        lines = head.decode("utf-8-sig", "replace").splitlines(keepends=True)
+        rows = csv.reader(lines)
+        names = tuple(next(rows))
+        if rows.line_num < len(lines):
+            return names
+    return names if head else ()
+
+
 def _files(spark: SparkSession, path: str) -> Iterator[JavaObject]:
     """Status of each file under ``path``, which may be a pattern, in the order of names."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,18 +93,16 @@ def _header(spark: SparkSession, status: JavaObject) -> tuple[tuple[str, ...], s
     path = status.getPath()
     stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
     try:
-        head = bytes(stream.readNBytes(HEAD_BYTES))
+        content = io.BufferedReader(_Opened(stream), HEAD_BYTES)
+        gzipped = content.peek(len(_GZIP_MAGIC)).startswith(_GZIP_MAGIC)
+        kind = NAMED_GZIP if path.getName().endswith(".gz") else OTHER_GZIP if gzipped else PLAIN
+        if kind == OTHER_GZIP and not path.toString().startswith("file:"):
+            raise ValueError(f"{path.toString()} is gzip data; name it with a .gz ending where it is not mounted")
+        names = _first_row(content if kind == PLAIN else gzip.GzipFile(fileobj=content))
     finally:
         stream.close()
-    kind = NAMED_GZIP if path.getName().endswith(".gz") else OTHER_GZIP if head.startswith(_GZIP_MAGIC) else PLAIN
-    if kind == OTHER_GZIP and not path.toString().startswith("file:"):
-        raise ValueError(f"{path.toString()} is gzip data; name it with a .gz ending where it is not mounted")
-    if kind != PLAIN and head:
-        head = zlib.decompressobj(31).decompress(head, HEAD_BYTES)
-    lines = head.decode("utf-8-sig", "replace").splitlines(keepends=True)
-    if not lines:
+    if not names:
         return (), kind
-    names = tuple(next(csv.reader(lines)))
     missing = [name for name in fv.USAGE_COLUMNS if name not in names]
     if missing:
         raise ValueError(f"{path.toString()} lacks the columns {', '.join(missing)}")

@@ -307,3 +307,15 @@ def test_files_are_dealt_by_bytes(spark):
     even = dealt_by_weight(spark.createDataFrame(rows, "id int, size bigint").where("id <> 700"), F.col("size"), 8)
     sums = [r.bytes for r in even.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("size").alias("bytes")).collect()]
     assert len(sums) == 8 and max(sums) - min(sums) < 4 * 5000 and sum(sums) == small
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_long_header_row_is_read_whole(spark, tmp_path, monkeypatch, packed):
+    monkeypatch.setattr(usage_csv, "HEAD_BYTES", 64)
+    wide = ",".join(f'"column {i}"' for i in range(200)) + ',"two\nlines",'
+    content = (wide + HEADER + "\n" + "," * 201 + BODY.splitlines()[0] + "\n").encode()
+    path = tmp_path / ("report.csv.gz" if packed else "report.csv")
+    path.write_bytes(gzip.compress(content[:100]) + gzip.compress(content[100:]) if packed else content)
+    assert read(spark, str(path)) == EXPECTED[:1]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert read(spark, [str(path), str(tmp_path / "empty.csv")]) == EXPECTED[:1]
