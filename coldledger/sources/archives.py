@@ -1,28 +1,40 @@
 """Members of tar archives, plain, gzip or zstd, on a mounted file system.
 
 A plain archive is listed by seeking from header to header; its members are then
-hashed by many tasks, so a very large archive is not one task's work. Gzip and
-zstd can only be read front to back, so there each archive is one task, streamed
-in fixed-size chunks. Names are bytes.
+hashed by many tasks, so a very large archive is not one task's work. So is one
+packed in several frames that tell their lengths: the listing unpacks the frames
+that hold headers, and the members that begin in a frame are hashed together, each
+to its end, in whatever frame that is. Other gzip and zstd archives can only be
+read front to back, so there each archive is one task, streamed in fixed-size
+chunks. Names are bytes.
 """
 
 from __future__ import annotations
 
+import io
 import tarfile
 from collections.abc import Iterator
 from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .directories import md5_of_stream, task_count
+from .frames import GZIP_MAGIC, ZSTD_MAGIC, FramedFile, framed, skip, unpacked_from
 
+# offset is where a member's content starts; in a file of frames, frame and frame_offset are where
+# the frame with its first byte starts, packed and unpacked.
 _SCHEMA = (
-    "archive string, seq bigint, name binary, type string, linkname binary, size bigint, offset bigint, hash string"
+    "archive string, seq bigint, name binary, type string, linkname binary, size bigint, offset bigint, "
+    "frame bigint, frame_offset bigint, hash string"
 )
-_COLUMNS = ["archive", "seq", "name", "type", "linkname", "size", "offset", "hash"]
+_PLACES = ["offset", "frame", "frame_offset"]
+_COLUMNS = ["archive", "seq", "name", "type", "linkname", "size", *_PLACES, "hash"]
 _BATCH = 10_000
+# Unpacked bytes that are read for a header, and more headers if they follow.
+_HEADER_BYTES = 1 << 16
 _TYPES = {
     tarfile.REGTYPE: "file",
     tarfile.AREGTYPE: "file",
@@ -40,37 +52,40 @@ def _as_bytes(name: str) -> bytes:
 _REFUSED = {"lz4": b"\x04\x22\x4d\x18", "bzip2": b"BZh", "xz": b"\xfd7zX"}
 
 
-def _open(archive: str, stack: ExitStack) -> tuple[tarfile.TarFile, bool]:
-    """The archive and whether it is compressed."""
+def _open(archive: str, stack: ExitStack) -> tuple[tarfile.TarFile, bool, FramedFile | None]:
+    """The archive, whether it can be read front to back only, and its frames if it has such."""
     stream = stack.enter_context(open(archive, "rb"))
     magic = stream.read(4)
     stream.seek(0)
+    frames = None
     mode = "r:"
-    if magic.startswith(b"\x1f\x8b"):
-        mode = "r|gz"
-    elif magic == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        stream = stack.enter_context(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True))
-        mode = "r|"
+    if magic.startswith((GZIP_MAGIC, ZSTD_MAGIC)):
+        frames = framed(stream)
+        if frames:
+            stream = stack.enter_context(io.BufferedReader(frames, _HEADER_BYTES))
+        else:
+            stream, mode = unpacked_from(stream, 0), "r|"
     for name, start in _REFUSED.items():
         if magic.startswith(start):
             raise ValueError(f"{archive} is packed by {name}, which is not read; unpack it first")
     tar = tarfile.open(fileobj=stream, mode=mode, encoding="utf-8", errors="surrogateescape")
-    return stack.enter_context(tar), mode != "r:"
+    return stack.enter_context(tar), mode != "r:", frames
 
 
 def _members(archive: str) -> Iterator[tuple]:
     with ExitStack() as stack:
-        tar, packed = _open(archive, stack)
+        tar, streamed, frames = _open(archive, stack)
         seq = 0
         # next() instead of iteration, and an emptied list: tarfile would
         # otherwise remember every member.
         while (member := tar.next()) is not None:
             kind = _TYPES.get(member.type, "other")
-            digest = None
-            if packed and kind == "file":
+            digest, places = None, (None, None, None)
+            if kind == "file" and streamed:
                 digest = md5_of_stream(tar.extractfile(member), member.size)
+            elif kind == "file":
+                frame = frames.frame_of(member.offset_data) if frames else (None, None)
+                places = (member.offset_data, *frame)
             yield (
                 archive,
                 seq,
@@ -78,7 +93,7 @@ def _members(archive: str) -> Iterator[tuple]:
                 kind,
                 _as_bytes(member.linkname),
                 member.size,
-                None if packed or kind != "file" else member.offset_data,
+                *places,
                 digest,
             )
             seq += 1
@@ -99,19 +114,34 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=_COLUMNS)
-    return frame.astype({"offset": "Int64"})
+    return frame.astype(dict.fromkeys(_PLACES, "Int64"))
+
+
+def _hashes(archive: str, members: pd.DataFrame) -> Iterator[str]:
+    """Of members that begin in one frame, or of a plain archive, by their offsets."""
+    with open(archive, "rb") as stream:
+        frame = members["frame"].iloc[0]
+        at = None
+        if not pd.isna(frame):
+            stream, at = unpacked_from(stream, int(frame)), int(members["frame_offset"].iloc[0])
+        for offset, size in zip(members["offset"].astype("int64").tolist(), members["size"].tolist()):
+            if at is None:
+                stream.seek(offset)
+            else:
+                skip(stream, offset - at)
+                at = offset + size
+            yield md5_of_stream(stream, size)
 
 
 def _hash_pending(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         batch = batch.sort_values(["archive", "seq"]).reset_index(drop=True)
         hashes = batch["hash"].tolist()
-        for archive, members in batch[batch["offset"].notna()].groupby("archive"):
-            with open(archive, "rb") as stream:
-                for index, member in members.iterrows():
-                    stream.seek(int(member["offset"]))
-                    hashes[index] = md5_of_stream(stream, int(member["size"]))
-        yield batch.assign(hash=hashes).astype({"offset": "Int64"})
+        pending = batch[batch["offset"].notna()]
+        for (archive, _), members in pending.groupby(["archive", "frame"], dropna=False):
+            for index, digest in zip(members.index, _hashes(archive, members)):
+                hashes[index] = digest
+        yield batch.assign(hash=hashes).astype(dict.fromkeys(_PLACES, "Int64"))
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
@@ -119,5 +149,6 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     ship_package(spark)
     tasks = task_count(spark)
     listed = archives.select("archive").repartition(tasks, "archive").mapInPandas(_list, _SCHEMA)
-    spread = listed.repartition(tasks, "archive", "seq")
-    return spread.mapInPandas(_hash_pending, _SCHEMA).drop("offset")
+    # Members of one frame go together, so that it is unpacked once; others are dealt one by one.
+    spread = listed.repartition(tasks, "archive", F.coalesce("frame", "seq"))
+    return spread.mapInPandas(_hash_pending, _SCHEMA).drop(*_PLACES)
