@@ -29,6 +29,8 @@ TILE = 1024
 STEPS = (12, 24, 40)
 #: Strips are told apart by their ranges on so many leading axes.
 BOX_AXES = 8
+#: Pairs of strips are dealt to so many tasks at most; a task compares its pairs one after another.
+MOST_TASKS = 20_000
 # Rotated products are exact to far less than this; closer calls are made on the vectors as given.
 _DOUBT = 1e-9
 
@@ -306,12 +308,14 @@ def _links_of_size(classes: DataFrame, count: int, dtype: str, size: int, least:
     )
     boxes = np.zeros((count_strips, min(BOX_AXES, size) + 1, 2))
     boxes[ranges["strip"].to_numpy(np.int64), ranges["axis"].to_numpy(np.int64)] = ranges[["low", "high"]].to_numpy()
+    # Pairs of strips that their ranges do not tell apart; two strips are partners both ways.
+    partners = sum(int((_partners(boxes, strip, least) >= strip).sum()) for strip in range(count_strips))
     dealt = placed.transform(
         batchwise,
         lambda batches: _dealt(batches, boxes, least), "pair bigint, side int, id bigint, copies bigint, vector binary"
     )
     return (
-        dealt.repartition(max(1, count_strips * (count_strips + 1) // 2), "pair")
+        dealt.repartition(min(max(1, partners), MOST_TASKS), "pair")
         .sortWithinPartitions("pair", "side")
         .transform(batchwise, lambda batches: _pairs(batches, dtype, axes, least), "u bigint, v bigint, links bigint")
     )
