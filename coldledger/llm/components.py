@@ -14,10 +14,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is tied to the lowest of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both).select("u", F.least("u", "low").alias("low"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    """Every neighbour above a node is tied to the lowest of the node and its neighbours.
+
+    ``edges`` have u > v, so the neighbours above a node are the u of its rows as v, and each edge is
+    joined once, by its lower end.
+    """
+    low = _lowest(edges).select(F.col("u").alias("v"), "low")
+    return edges.join(low, "v", "left").select("u", F.coalesce("low", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of each node of ``edges`` (u, v) but the smallest ones.
 
     Large-star and small-star steps alternate until nothing changes; each round is staged, so the
-    lineage stays short. Self-loops, repeats and directions do not matter.
+    lineage stays short. Every shuffle by node is that of a join followed by another shuffle, so adaptive
+    execution splits the edges of a node that has too many. Self-loops, repeats and directions do not matter.
     """
     current = durable(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

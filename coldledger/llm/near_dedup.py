@@ -7,8 +7,11 @@ key are candidates, and all links are confirmed on the full shingle sets.
 
 Only connected groups are asked for, so no bucket is expanded into all its pairs at first: each
 text is compared with the bucket leader it meets most often. Buckets that are not connected then
-form families; a family is dealt into tiles of a bounded number of texts, and each pair of tiles is
-compared in full by one product of matrices. No row is made for a pair of texts.
+form families. A family of more than a tile of texts is narrowed first: texts of it can only be
+linked if the rarest shingles of the one, by their number in the family, meet those of the other,
+so texts that share no more than a template fall apart. What is left is dealt into tiles of a
+bounded number of texts, and each pair of tiles is compared in full by one product of matrices.
+No row is made for a pair of texts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, ship_package
@@ -262,11 +265,77 @@ def _compared_tiles(batches: Iterator[pa.RecordBatch], words: int, least_percent
         yield finish()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each text."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            shingles, offsets = shingle_sets(*byte_view(batch.column("text")), words)
+            sizes = np.diff(offsets)
+            owners = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            names = ["family", "component", "id"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(name).take(owners) for name in names],
+                    pa.array(np.repeat(sizes, sizes)),
+                    pa.array(shingles.view(np.int64)),
+                ],
+                [*names, "size", "shingle"],
+            )
+
+
+def _narrowed(members: DataFrame, texts: DataFrame, words: int, least_percent: int) -> DataFrame:
+    """``members`` (id, component, family) that may be linked with others not connected yet, in smaller families.
+
+    Put the shingles of every text in one order, rare ones of the family first. Let y have no more
+    shingles than x. If they are linked, they have at least t |x| shingles in common, and at least
+    2 t / (1 + t) |y|; so one of the first |y| - 2 t / (1 + t) |y| + 1 of y is among the first
+    |x| - t |x| + 1 of x. Texts that meet like this, directly or through others, stay together.
+    """
+    keys = ["family", "shingle"]
+    rows = durable(
+        members.join(texts.hint("merge"), "id")
+        .select("family", "component", "id", "text")
+        .transform(
+            batchwise,
+            lambda batches: _shingle_rows(batches, words),
+            "family bigint, component bigint, id bigint, size bigint, shingle bigint",
+        )
+    )
+    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held_by")).where("held_by > 1")
+    held = rows.join(shared, keys)
+    of_text = Window.partitionBy("id")
+    # The shingles that no other text of the family has come first, and are not among these rows.
+    rank = F.row_number().over(of_text.orderBy("held_by", "shingle")) + F.col("size") - F.count(F.lit(1)).over(of_text)
+    size, percent = F.col("size"), F.lit(least_percent)
+    longest = size - F.ceil(size * percent / 100) + 1
+    short = size - F.ceil(size * 2 * percent / (100 + percent)) + 1
+    firsts = durable(
+        held.withColumn("rank", rank)
+        .where(F.col("rank") <= longest)
+        .select(*keys, "component", "id", (F.col("rank") <= short).alias("leads"))
+    )
+    met = (
+        firsts.groupBy(*keys)
+        .agg(
+            F.min("id").alias("first"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.bool_or("leads").alias("led"),
+        )
+        .where("low < high AND led")
+    )
+    edges = firsts.join(met, keys).select(F.col("id").alias("u"), F.col("first").alias("v"))
+    tied = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    lowest = tied.select(F.col("family").alias("id"), "family").distinct()
+    return members.select("id", "component").join(tied.unionByName(lowest), "id")
+
+
 def _family_links(placed: DataFrame, texts: DataFrame, words: int, least_percent: int) -> DataFrame:
     """a, b and linked (always true): links that connect all linked texts of buckets not connected so far.
 
-    Buckets that share texts are one family. Its texts are dealt by hash into tiles; a task compares
-    two tiles, so a family of any size is spread over many tasks.
+    Buckets that share texts are one family, narrowed where it is larger than a tile. Its texts are
+    dealt by hash into tiles; a task compares two tiles, so a family of any size is spread over many
+    tasks.
     """
     opened = durable(_open_buckets(placed).select("id", "component", "leader").distinct())
     families = connected_components(opened.select(F.col("id").alias("u"), F.col("leader").alias("v")))
@@ -276,7 +345,14 @@ def _family_links(placed: DataFrame, texts: DataFrame, words: int, least_percent
         .join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id", "left")
         .withColumn("family", F.coalesce("family", "id"))
     )
-    counts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE_TEXTS).cast("int").alias("tiles"))
+    sizes = durable(members.groupBy("family").agg(F.count(F.lit(1)).alias("texts")))
+    large = sizes.where(F.col("texts") > TILE_TEXTS)
+    if not large.isEmpty():
+        few = members.join(large, "family", "left_anti")
+        narrowed = _narrowed(members.join(large, "family", "left_semi"), texts, words, least_percent)
+        members = durable(few.unionByName(narrowed))
+        sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("texts"))
+    counts = sizes.select("family", F.ceil(F.col("texts") / TILE_TEXTS).cast("int").alias("tiles"))
     tile, other = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.col("other")
     dealt = (
         members.join(counts, "family")
